@@ -1,8 +1,9 @@
 """The subpackage's queries and their SQL, for __spark_entry__.py."""
 
-from . import decontam
+from . import bpe, decontam
 
 QUERIES = {
+    "op3_byte_bpe": bpe.query,
     "op5_decontamination": decontam.query,
 }
 SQL: dict[str, str] = {}
