@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, for __spark_entry__.py."""
 
-from . import bpe, decontam, langid, secret_scan, sharding, topk, toxicity
+from . import bpe, decontam, langid, neardup, secret_scan, sharding, topk, toxicity
 
 QUERIES = {
     "op1_exact_topk": topk.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op8_secret_scan": secret_scan.query,
     "op2_language_id": langid.query,
     "op6_toxicity": toxicity.query,
+    "op9_minhash_dedup": neardup.query,
     "op5_decontamination": decontam.query,
 }
-SQL: dict[str, str] = {"op1_exact_topk": topk.SQL}
+SQL: dict[str, str] = {"op1_exact_topk": topk.SQL, "op9_minhash_dedup": neardup.SQL}
