@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, for __spark_entry__.py."""
 
-from . import bpe, decontam, langid, neardup, secret_scan, sharding, topk, toxicity
+from . import bpe, decontam, langid, licenses, neardup, quality, secret_scan, sharding, topk, toxicity
 
 QUERIES = {
     "op1_exact_topk": topk.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op2_language_id": langid.query,
     "op6_toxicity": toxicity.query,
     "op9_minhash_dedup": neardup.query,
+    "op7_quality": quality.query,
+    "op10_license_scan": licenses.query,
     "op5_decontamination": decontam.query,
 }
 SQL: dict[str, str] = {"op1_exact_topk": topk.SQL, "op9_minhash_dedup": neardup.SQL}
