@@ -171,7 +171,7 @@ SCORES = f"""{MI}, {PAIRS}, sm AS (SELECT path, slot, sum(mi) AS s FROM mi GROUP
     coalesce((SELECT s FROM sm WHERE path = cp.p1 AND slot = 'X'), 0) + coalesce((SELECT s FROM sm WHERE path = cp.p2 AND slot = 'X'), 0) AS dx,
     coalesce((SELECT s FROM sm WHERE path = cp.p1 AND slot = 'Y'), 0) + coalesce((SELECT s FROM sm WHERE path = cp.p2 AND slot = 'Y'), 0) AS dy
   FROM cp LEFT JOIN ov USING (p1, p2) WHERE p1 IN (SELECT path FROM mi) OR p2 IN (SELECT path FROM mi)
-), sc AS (SELECT p1, p2, sqrt((CASE WHEN dx > 0 THEN num_x / dx ELSE 0 END) * (CASE WHEN dy > 0 THEN num_y / dy ELSE 0 END)) AS score FROM den
+), sc AS (SELECT p1, p2, round(sqrt((CASE WHEN dx > 0 THEN num_x / dx ELSE 0 END) * (CASE WHEN dy > 0 THEN num_y / dy ELSE 0 END)), 9) AS score FROM den
 ), ls AS (SELECT p1, p2, score, label FROM sc JOIN gold USING (p1, p2) WHERE score > 0
 ), cu AS (
   SELECT row_number() OVER o AS rank, p1, p2, score, label,
