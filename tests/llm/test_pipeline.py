@@ -1,0 +1,20 @@
+import corpus_pipeline
+from lexiloom.llm import decontam, neardup
+
+
+def test_stages_and_result(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "MinHash near-dedup", "benchmark decontamination", "secret scans", "byte-level BPE"]
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, sf)
+        assert kept.columns == docs.columns
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    assert set(out) == set(texts)
+    named = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert len({named[d] for d in out}) == len(out)
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    some = sorted(texts)[:40]
+    assert all(v[1] == 0 for v in decontam.brute([(d, texts[d]) for d in some], items).values())
