@@ -135,10 +135,10 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, *, keep: Sequence[str]
     keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
     found = None
     for c in chunks:
-        one = _pass(keyed.dropDuplicates([key]), [key], text, c, window, False).filter("n_hit > 0")
+        one = _pass(keyed, [key], text, c, window, False).filter("n_hit > 0")
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    plain = _pass(keyed, [*keep, key, text], text, [], window, False).drop("items", "spans", "n_hit", "clean_text")
+    plain = _pass(keyed, list(dict.fromkeys([*keep, key, text])), text, [], window, False).drop("items", "spans", "n_hit", "clean_text")
     joined = plain.join(merged, key, "left")
     union = F.expr("""aggregate(coalesce(spans, array()), cast(array() as array<struct<first_word:bigint,end_word:bigint,start:bigint,end:bigint>>),
         (acc, s) -> case when size(acc) > 0 and element_at(acc, -1).end_word >= s.first_word
