@@ -6,12 +6,11 @@ is what links connect, named by its smallest doc_id.
 
 1. Scan: set size, a 128-bit set key, BANDS keys of ROWS universal-hash minima each, and a byte of every minimum.
 2. Texts with one set are one class, represented by its smallest doc_id; only representatives go on.
-3. Candidates share a band key. They are taken in three rounds, none of which lists the pairs of a bucket: every
-   member against the smallest of its bucket; then, where a bucket still spans several components, every member
-   against a member picked by a hash; then, where it still does, members of different components whose signatures
-   could belong to linked texts, compared in tiles of at most TILE by TILE members.
-4. Each candidate passes a signature check (SLACK below the threshold) and is then confirmed on the full sets, made
-   anew from the whole texts.
+3. Candidates share a band key. First every member of a bucket meets two of it, the smallest and one picked by a
+   hash; such a pair passes a signature check (SLACK below the threshold) and is then confirmed on the full sets,
+   made anew from the whole texts.
+4. Where a bucket still spans several components, its members are compared, signatures first and then full sets, in
+   tiles of at most TILE by TILE members; pairs of one component are passed over.
 5. Components by alternating large-star and small-star.
 
 A pair at the threshold shares no band with probability (1 - 0.8**4)**28 < 1e-6. Sets hold 64-bit hashes.
@@ -120,22 +119,18 @@ def _alike(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, PAIR)
 
 
-def _bit(c) -> tuple:
-    h = F.pmod(F.xxhash64(F.lit(7), c), F.lit(1 << MAP_BITS))
-    return F.shiftright(h, 6).alias("word"), F.pmod(h, F.lit(64)).cast("int")
-
-
-def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """docs (id, text) without most of those that no pair names; what a bit map of 2**MAP_BITS bits lets through."""
-    ids = pairs.select("a").union(pairs.select("b")).select(F.col("a").alias("id"))
-    word, bit = _bit(F.col("id"))
-    bits = ids.select(word, F.expr("shiftleft(1L, cast(pmod(pmod(xxhash64(7, id), %d), 64) as int))" % (1 << MAP_BITS)).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    return docs.withColumn("word", word).join(F.broadcast(bits), "word").filter(F.expr("bits & shiftleft(1L, cast(pmod(pmod(xxhash64(7, id), %d), 64) as int)) <> 0" % (1 << MAP_BITS))).select("id", "text")
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (id, text) without most of those that ids (a column) lack; what a bit map of 2**MAP_BITS bits lets through."""
+    ids = ids.toDF("id")
+    place = f"pmod(xxhash64(7, id), {1 << MAP_BITS})"
+    word, bit = F.expr(f"shiftright({place}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({place}, 64) as int))")
+    bits = ids.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return docs.withColumn("word", word).join(F.broadcast(bits), "word").filter(F.col("bits").bitwiseAND(bit) != 0).select("id", "text")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs whose full sets are similar enough, as a written table."""
-    texts = _texts_of(docs, pairs)
+    texts = _texts_of(docs, pairs.select("a").union(pairs.select("b")))
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,53 +177,80 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def _tiles(rows: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs of rows (key, rep, comp) with one key and different comps whose signatures agree in a share of at least `least`.
+def _tiled_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) among rows (key, band, rep, comp): enough of them to connect what all links between different comps do.
 
-    A key's members are dealt into blocks; every two blocks meet in one tile, so a large bucket is many tiles.
+    A key's members are dealt into blocks; every two blocks meet in one tile, so a large bucket is many tiles. A pair
+    is looked at in the first band that its texts share, best signatures first, and only while its components are
+    apart within the tile. No pair leaves the tile but a confirmed one.
     """
+    least = percent / 100 - SLACK
     blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("nb"))
     dealt = rows.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), "key", F.col("i").alias("side"), F.col("j").alias("other"), "rep", "comp").join(reps.select("rep", "sig"), "rep")
-    ordered = dealt.select("tile", "key", "side", "other", "rep", "comp", "sig").repartition("tile").sortWithinPartitions("tile", "key")
+    texts = _texts_of(docs, rows.select("rep").distinct()).join(reps.select(F.col("rep").alias("id"), "sig"), "id")
+    dealt = dealt.join(texts.withColumnRenamed("id", "rep"), "rep").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    ordered = dealt.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), "key", "band", F.col("i").alias("side"), F.col("j").alias("other"), "rep", "comp", "sig", "text").repartition("tile").sortWithinPartitions("tile", "key")
     ship(rows.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def meet(t: pa.Table) -> list[tuple[int, int]]:
-            key, side, other, rep, comp = (t.column(c).to_numpy() for c in range(1, 6))
-            sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, _N)
-            out = []
-            for a in range(0, len(rep), TILE):
-                for i in range(a, min(len(rep), a + TILE)):
-                    js = np.arange(i + 1, len(rep))
-                    ok = (key[js] == key[i]) & (comp[js] != comp[i]) & ((side[js] != side[i]) | (side[i] == other[i]))
-                    js = js[ok]
-                    if len(js):
-                        js = js[(sig[js] == sig[i]).mean(1) >= least]
-                        out += [(min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))) for j in js]
-            return out
+    def meet(t: pa.Table) -> list[tuple[int, int]]:
+        if t.num_rows < 2:
+            return []
+        key, band, side, other, rep, comp = (t.column(c).to_numpy() for c in range(1, 7))
+        sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, _N)
+        wide = sig.view(np.uint32)
+        x, at = shingle_sets(pa.concat_arrays([c.cast(pa.large_string()) for c in t.column(8).chunks]), n)
+        size = np.diff(at)
+        sets: dict[int, frozenset] = {}
+        above: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while above.get(c, c) != c:
+                c = above[c]
+            return c
+
+        def members(i: int) -> frozenset:
+            if i not in sets:
+                sets[i] = frozenset(x[at[i] : at[i + 1]].tolist())
+            return sets[i]
+
+        out = []
+        for i in range(len(rep) - 1):
+            js = np.arange(i + 1, len(rep))
+            js = js[(key[js] == key[i]) & (comp[js] != comp[i]) & ((side[js] != side[i]) | (side[i] == other[i])) & (rep[js] != rep[i])]
+            js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
+            if not len(js):
+                continue
+            alike = (sig[js] == sig[i]).mean(1)
+            ok = (alike >= least) & ~(wide[js, : band[i]] == wide[i, : band[i]]).any(1)
+            for j in js[ok][np.argsort(-alike[ok], kind="stable")].tolist():
+                a, b = root(int(comp[i])), root(int(comp[j]))
+                if a != b:
+                    common = len(members(i) & members(j))
+                    if 100 * common >= percent * int(size[i] + size[j] - common):
+                        above[max(a, b)] = min(a, b)
+                        out.append((int(rep[i]), int(rep[j])))
+        return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
+
+        def links(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         for b in batches:
             tile = b.column(0).to_numpy()
-            if not len(tile):
-                continue
-            cut = np.flatnonzero(np.diff(tile)) + 1
-            edges = [0, *cut.tolist(), len(tile)]
+            edges = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)] if len(tile) else [0]
             found = []
-            for k, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
-                part = b.slice(x, y - x)
+            for x, y in zip(edges[:-1], edges[1:]):
                 if kept and kept[0].column(0)[0].as_py() != int(tile[x]):
                     found += meet(pa.Table.from_batches(kept))
                     kept = []
-                kept.append(part)
-            pairs = sorted(set(found))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+                kept.append(b.slice(x, y - x))
+            yield links(found)
         if kept:
-            pairs = sorted(set(meet(pa.Table.from_batches(kept))))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+            yield links(meet(pa.Table.from_batches(kept)))
 
-    return ordered.mapInArrow(run, PAIR)
+    return written(ordered.mapInArrow(run, PAIR).distinct())
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -236,28 +258,19 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     ship(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     scanned = written(arrow_map(docs, ["id"], "text", _scan(shingle), FIELDS))
-    least = percent / 100 - SLACK
     reps = written(scanned.filter("n_shingles > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    banded = reps.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"))
-    members = written(banded.join(buckets, "key"))
-    near = F.expr(f"100 * least(n, center_n) >= {percent} * greatest(n, center_n)")
-    pairs = members.filter("rep <> center").filter(near).select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
-    links = _confirmed(docs, written(_alike(pairs, reps, least)), shingle, percent)
-    comps = written(components(links))
-
-    def open_rows(comps: DataFrame) -> DataFrame:
-        """Members of buckets that still span several components."""
-        own = members.select("key", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        split = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(11), "key", "rep").alias("h"), F.col("rep"), F.col("comp"), F.col("n"))).alias("c")).filter("lo <> hi")
-        return own.join(split.select("key", F.col("c.rep").alias("center"), F.col("c.comp").alias("center_comp"), F.col("c.n").alias("center_n")), "key")
-
-    pairs = open_rows(comps).filter("comp <> center_comp").filter(near).select(F.greatest("rep", "center").alias("a"), F.least("rep", "center").alias("b")).distinct()
-    links = links.union(_confirmed(docs, written(_alike(pairs, reps, least)), shingle, percent))
-    comps = written(components(links))
-    rest = written(_tiles(open_rows(comps).select("key", "rep", "comp"), reps, least).distinct())
-    links = links.union(_confirmed(docs, rest, shingle, percent))
-    comps = written(components(links))
+    banded = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    picked = F.min(F.struct(F.xxhash64(F.lit(11), "key", "rep").alias("h"), "rep", "n"))
+    buckets = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), picked.alias("d"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = written(banded.join(buckets.select("key", F.array("c", F.struct("d.rep", "d.n")).alias("centers")), "key"))
+    pairs = members.select("rep", "n", F.explode("centers").alias("c")).filter("rep <> c.rep").filter(f"100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
+    pairs = pairs.select(F.greatest("rep", "c.rep").alias("a"), F.least("rep", "c.rep").alias("b")).distinct()
+    links = _confirmed(docs, written(_alike(pairs, reps, percent / 100 - SLACK)), shingle, percent)
+    comps = components(links)
+    own = members.select("key", "band", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
+    split = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    rest = _tiled_links(written(own.join(split, "key")), reps, docs, shingle, percent)
+    comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(rest))
     named = reps.select("set_key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("named"))
     out = scanned.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("named", "id"))
