@@ -11,7 +11,7 @@ from lexiloom.llm import langid, quality, toxicity
 def texts_of(seed, n, syllables, extra=()):
     r = random.Random(seed)
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randrange(1, 4)))
-    return [". ".join(" ".join([word() for _ in range(r.randrange(3, 15))] + [r.choice(extra)] * bool(extra and r.random() < 0.7)) for _ in range(r.randrange(2, 9))) for _ in range(n)]
+    return [". ".join(" ".join([word() for _ in range(r.randrange(3, 15))] + ([r.choice(extra)] if extra and r.random() < 0.7 else [])) for _ in range(r.randrange(2, 9))) for _ in range(n)]
 
 
 LANGUAGES = {"aa": ["th", "er", "ing", "and", "on"], "bb": ["sch", "ung", "ein", "der", "ü"], "cc": ["ción", "que", "los", "ñ", "as"]}
