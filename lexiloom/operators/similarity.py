@@ -40,19 +40,13 @@ def overlap_numerators(mi: DataFrame, pairs: DataFrame) -> DataFrame:
     return shared.groupBy("p1", "p2").agg(total("X").alias("num_x"), total("Y").alias("num_y"))
 
 
-def scored_pairs(mi: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of which a path at least has a feature."""
-    known = mi.select(F.col("path").alias("k")).distinct()
-    first, second = pairs.join(known, F.col("p1") == F.col("k"), "left_semi"), pairs.join(known, F.col("p2") == F.col("k"), "left_semi")
-    return first.union(second).distinct()
-
-
 def final_similarity(mi: DataFrame, pairs: DataFrame) -> DataFrame:
     """p1, p2, score of the canonical pairs of which a path at least has a feature; no shared word is 0."""
     pairs = canonical(pairs.select("p1", "p2"))
     sums = sum_mi(mi).groupBy("path").agg(*[F.sum(F.when(F.col("slot") == s, F.col("sum_mi"))).alias(f"s{s}") for s in "XY"])
-    side = lambda p, k: sums.select(F.col("path").alias(p), F.col("sX").alias(f"x{k}"), F.col("sY").alias(f"y{k}"))
-    rows = scored_pairs(mi, pairs).join(overlap_numerators(mi, pairs), ["p1", "p2"], "left").join(side("p1", 1), "p1", "left").join(side("p2", 2), "p2", "left")
+    side = lambda p, k: sums.select(F.col("path").alias(p), F.lit(True).alias(f"has{k}"), F.col("sX").alias(f"x{k}"), F.col("sY").alias(f"y{k}"))
+    known = pairs.join(side("p1", 1), "p1", "left").join(side("p2", 2), "p2", "left").filter("has1 or has2")  # a path without a sum has no feature
+    rows = known.join(overlap_numerators(mi, pairs), ["p1", "p2"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
 
     def ratio(num: str, a: str, b: str) -> Column:

@@ -33,24 +33,26 @@ def _pairs(s, d):
 
 
 def _scores(s, d):
-    return sim.final_similarity(_mi(s, d), _pairs(s, d))
+    return sim.final_similarity(_mi(s, d), _pairs(s, d)).persist()
 
 
 def _gold(s, d):
     return ev.gold(_pairs(s, d))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.persist()
+def _judged(s, d):
+    """Scores, gold labels, and the ranking of the one by the other."""
+    scores, gold = _scores(s, d), _gold(s, d).persist()
+    return scores, gold, ev.cumulative_pr(ev.label_scores(scores, gold), gold)
 
 
 def _cumulative(s, d):
-    gold = _kept(_gold(s, d))
-    return ev.cumulative_pr(ev.label_scores(_scores(s, d), gold), gold)
+    return _judged(s, d)[2]
 
 
-def _cut(s, d):
-    return ev.threshold(ev.best_f1(_cumulative(s, d)))
+def _with_cut(s, d):
+    scores, gold, cumulative = _judged(s, d)
+    return scores, gold, ev.threshold(ev.best_f1(cumulative)).persist()
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -120,8 +122,8 @@ QUERIES = {
     "pr_curve": lambda s, d: _rounded(ev.pr_curve(_cumulative(s, d)), "recall", "precision"),
     "best_f1": lambda s, d: _rounded(ev.best_f1(_cumulative(s, d)), "threshold", "f1", "precision", "recall"),
     "missed_positives": lambda s, d: ev.missed_positives(_scores(s, d), _gold(s, d)),
-    "true_negatives": lambda s, d: _rounded(ev.true_negatives(_scores(s, d), _gold(s, d), _cut(s, d)), "score"),
-    "error_samples": lambda s, d: _rounded(ev.error_samples(_scores(s, d), _kept(_gold(s, d)), _cut(s, d)), "score"),
+    "true_negatives": lambda s, d: _rounded(ev.true_negatives(*_with_cut(s, d)), "score"),
+    "error_samples": lambda s, d: _rounded(ev.error_samples(*_with_cut(s, d)), "score"),
     "stem_vocabulary": _stem_vocabulary,
 }
 

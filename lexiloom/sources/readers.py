@@ -44,9 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores at least: these small tables come in one file, a corpus in many splits."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def star_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a corpus made from the sales tables: segment nouns, type verbs, part-name nouns, five templates by line number."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
+    line = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"))
     rows = line.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type"), "l_partkey")
     x, v, y = F.lower("c_mktsegment"), F.lower("p_type"), F.get(F.split("p_name", " "), F.lit(1))
     prep = F.when(F.col("l_returnflag") == "A", "in/IN").when(F.col("l_returnflag") == "N", "with/IN").otherwise("to/TO")
@@ -66,7 +71,7 @@ def star_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a corpus made from the documents: every three words in a row as noun, verb, noun."""
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
-    docs = table(spark, sf_dir, "documents").select(words.alias("w")).filter(F.size("w") >= 3)
+    docs = spread(table(spark, sf_dir, "documents").select("text")).select(words.alias("w")).filter(F.size("w") >= 3)
     at = docs.select("w", F.explode(F.sequence(F.lit(1), F.size("w") - 2)).alias("i"))
     a, b, c = (F.element_at("w", F.col("i") + k) for k in range(3))
     return at.select(F.concat(b, F.lit("\t"), a, F.lit("/NN/nsubj/2 "), b, F.lit("/VB/ROOT/0 "), c, F.lit("/NN/dobj/2\t1")).alias("value"))
