@@ -16,5 +16,5 @@ def test_stages_and_result(spark, sf):
     named = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
     assert len({named[d] for d in out}) == len(out)
     items = [(r.item_id, r.text) for r in bench.collect()]
-    some = sorted(texts)[:40]
+    some = sorted(texts)[:8]
     assert all(v[1] == 0 for v in decontam.brute([(d, texts[d]) for d in some], items).values())
