@@ -5,11 +5,11 @@ WINDOW_WORDS words; each window is compressed under both dictionaries, and the d
 toxic dictionary saves) is its evidence. A text's features are how many of its windows save at least so many bytes,
 for a few thresholds, and the largest saving; a logistic calibration on held-in texts turns them into a score.
 
-Training text is split into windows too. The toxic dictionary is trained on windows of toxic texts that hold a word
-which stands in toxic texts far more often than in ordinary ones (by a smoothed log ratio of document frequencies);
-the ordinary one on windows of ordinary texts. The end of the former, where the peculiar words are, is put after the
-latter: so both sides know the common stock of the language alike, a match in it costs the same, and only the toxic
-side knows what is peculiar to toxic text.
+Training text is split into windows too. Peculiar words are those that significantly more toxic texts than ordinary
+ones hold (by the log ratio and the difference of document frequencies). The toxic dictionary is trained on what
+windows of toxic texts keep when only peculiar words are left, the ordinary one on windows of ordinary texts. The end
+of the former is put before the latter: so both sides know the common stock of the language alike, at the same
+distance and cost, and only the toxic side knows what is peculiar to toxic text.
 
 Defined cases: null and empty texts have no windows and get the score of a text without evidence; a text with no
 white space is one window a WINDOW_BYTES piece; texts alike get scores alike; with fewer than two classes to learn
@@ -36,7 +36,10 @@ WORD = mask_of([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 WINDOW_WORDS = 8
 WINDOW_BYTES = 128
 DICTIONARY = 8192
+#: Bytes of the toxic dictionary that are put before the ordinary one.
 TAIL = 1500
+#: Log ratio of document frequencies, and difference in standard deviations, that a peculiar word exceeds.
+RATIO, DEVIATIONS = 1.5, 3.2
 #: A hash chain long enough to find any match in a dictionary of this size.
 SETTINGS = {"strategy": zstandard.STRATEGY_LAZY2, "window_log": 15, "hash_log": 15, "chain_log": 15, "search_log": 6, "min_match": 4, "target_length": 16}
 FRAME = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
@@ -86,12 +89,18 @@ class Model:
                 seen.update((x, d) for x in w.split())
             frequency[side].update(x for x, _ in seen)
         a, b = len(toxic), len(ordinary)
-        peculiar = {x: r for x, n in frequency[0].items() if n >= 3 and (r := math.log(((n + 0.5) / (a + 1)) / ((frequency[1][x] + 0.5) / (b + 1)))) > 1.5}
-        strength = {x: r * math.log1p(frequency[0][x]) for x, r in peculiar.items()}
+        strength = {}
+        for word, n in frequency[0].items():
+            expected = frequency[1][word] * a / b
+            over = (n - expected) / math.sqrt(n + expected * a / b + 1)
+            if over > DEVIATIONS and math.log((n + 0.5) / (a + 1) * (b + 1) / (frequency[1][word] + 0.5)) > RATIO:
+                strength[word] = over
         chosen = [x for x, _ in sorted(strength.items(), key=lambda p: (-p[1], p[0]))[:256]]
-        marked = [w for w in tox if any(x in peculiar for x in w.split())] or tox
+        peculiar = set(chosen)
+        marked = [b" ".join(x for x in w.split() if x in peculiar) for w in tox]
+        marked = [b" " + w + b" " for w in marked if w] or tox
         ordinary_dictionary = self.dictionary(ordi, [])
-        self.dictionaries = [ordinary_dictionary + self.dictionary(marked, chosen)[-TAIL:], ordinary_dictionary]
+        self.dictionaries = [self.dictionary(marked, chosen)[-TAIL:] + ordinary_dictionary, ordinary_dictionary]
         x = np.concatenate([self.features(pa.array(t, pa.large_string())) for t in (toxic, ordinary)])
         y = np.concatenate([np.ones(a), np.zeros(b)])
         self.weights = logistic(x, y)
@@ -121,8 +130,9 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_made"}
 
     def savings(self, own: list[bytes]) -> np.ndarray:
-        """Bytes that each window saves under the toxic dictionary."""
+        """Bytes that each window, between spaces, saves under the toxic dictionary."""
         lengths = []
+        own = [b" " + w + b" " for w in own]
         for c in self.compressors():
             one = c.compress
             lengths.append(np.fromiter((len(one(w)) for w in own), np.int64, len(own)))
