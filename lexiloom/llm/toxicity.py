@@ -48,7 +48,7 @@ SAMPLE = 1500
 
 
 def windows(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
-    """Lower-cased windows of all texts, words apart by one space, and the text of each window."""
+    """Lower-cased windows of all texts, with spaces for what stands between words, and the text of each window."""
     data, off = buffers(texts)
     low = LOWER[data]
     starts, ends = word_bounds(low, off, WORD)
