@@ -181,15 +181,15 @@ def _tiled_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, n: int, perc
     """Links (a, b) among rows (key, band, rep, comp): enough of them to connect what all links between different comps do.
 
     A key's members are dealt into blocks; every two blocks meet in one tile, so a large bucket is many tiles. A pair
-    is looked at in the first band that its texts share, best signatures first, and only while its components are
-    apart within the tile. No pair leaves the tile but a confirmed one.
+    is looked at in the first band whose whole key its texts share (equal signature bytes do not make equal keys), best
+    signatures first, and only while its components are apart within the tile. No pair leaves the tile but a confirmed one.
     """
     least = percent / 100 - SLACK
     blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("nb"))
     dealt = rows.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("nb")).cast("int"))
-    texts = _texts_of(docs, rows.select("rep").distinct()).join(reps.select(F.col("rep").alias("id"), "sig"), "id")
+    texts = _texts_of(docs, rows.select("rep").distinct()).join(reps.select(F.col("rep").alias("id"), "sig", "bands"), "id")
     dealt = dealt.join(texts.withColumnRenamed("id", "rep"), "rep").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    ordered = dealt.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), "key", "band", F.col("i").alias("side"), F.col("j").alias("other"), "rep", "comp", "sig", "text").repartition("tile").sortWithinPartitions("tile", "key")
+    ordered = dealt.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), "key", "band", F.col("i").alias("side"), F.col("j").alias("other"), "rep", "comp", "sig", "text", "bands").repartition("tile").sortWithinPartitions("tile", "key")
     ship(rows.sparkSession)
 
     def meet(t: pa.Table) -> list[tuple[int, int]]:
@@ -197,7 +197,7 @@ def _tiled_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, n: int, perc
             return []
         key, band, side, other, rep, comp = (t.column(c).to_numpy() for c in range(1, 7))
         sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, _N)
-        wide = sig.view(np.uint32)
+        bands = t.column(9).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         x, at = shingle_sets(pa.concat_arrays([c.cast(pa.large_string()) for c in t.column(8).chunks]), n)
         size = np.diff(at)
         sets: dict[int, frozenset] = {}
@@ -221,7 +221,8 @@ def _tiled_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, n: int, perc
             if not len(js):
                 continue
             alike = (sig[js] == sig[i]).mean(1)
-            ok = (alike >= least) & ~(wide[js, : band[i]] == wide[i, : band[i]]).any(1)
+            js, alike = js[alike >= least], alike[alike >= least]
+            ok = ~(bands[js, : band[i]] == bands[i, : band[i]]).any(1)
             for j in js[ok][np.argsort(-alike[ok], kind="stable")].tolist():
                 a, b = root(int(comp[i])), root(int(comp[j]))
                 if a != b:

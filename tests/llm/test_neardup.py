@@ -62,6 +62,16 @@ def test_components_match_all_pairs(spark, documents, monkeypatch, n, tile):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_equal_signature_bytes_of_an_earlier_band_hide_no_pair(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "more"]))], "id long, text string")
+    sig = bytes(range(neardup.BANDS * neardup.ROWS))
+    bands = {i: [100 * b + (0 if b == 1 else i) for b in range(neardup.BANDS)] for i in (1, 2)}
+    reps = spark.createDataFrame([(i, bytearray(sig), bands[i]) for i in (1, 2)], "rep long, sig binary, bands array<long>")
+    rows = lambda shared: spark.createDataFrame([(100 * b, b, i, i) for b in shared for i in (1, 2)], "key long, band int, rep long, comp long")
+    assert [tuple(sorted(r)) for r in neardup._tiled_links(rows([1]), reps, docs, 5, 80).collect()] == [(1, 2)]
+
+
 def test_nothing_to_link(spark, documents):
     docs = documents(["one two three four five", "six seven eight nine ten"])
     assert neardup.near_duplicates(docs).filter("not kept").count() == 0
