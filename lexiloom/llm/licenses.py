@@ -5,8 +5,9 @@ hashed; of every WINNOW grams in a row the smallest hash is a fingerprint. An in
 fingerprint to templates and places in them. A text's fingerprints that the index knows vote for (template,
 diagonal); diagonals of one template within BAND of each other are one candidate. Each candidate's stretch of the
 text is aligned with the whole template: a local alignment by words, in a band of BAND words to either side of the
-candidate's diagonals (MATCH for equal words, MISS for a wrong, missing or added one). It is reported if it covers at
-least `coverage` of the template's words; of reports that overlap in the text the one with most matched words stays.
+candidate's diagonals (MATCH for equal words, MISS for a wrong, missing or added one), and so is what is left of the
+stretch before and after each alignment. One is reported if it covers at least `coverage` of the template's words; of
+reports that overlap in the text the one with most matched words stays.
 
 Defined cases: null, empty and word-less texts have no reports; a template with fewer than GRAM words is one gram of
 all its words; ties go to the template that comes first, then to the leftmost span; copies of a template in one text
@@ -18,6 +19,7 @@ grouped by diagonal, so its work grows with its hits, not with its length times
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -82,6 +84,33 @@ def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[
     return best
 
 
+def copies(text: np.ndarray, template: np.ndarray, low: int, high: int, begin: int, end: int, least: float) -> list[tuple[int, int, int]]:
+    """(matched words, begin, end) of alignments in text[begin:end] that match `least` words and do not overlap.
+
+    After each alignment what is left before and after it is aligned again. Alignments are shorter than 3 templates, so
+    each lies whole in the window of 12 templates in whose first three quarters it begins: work grows with the text.
+    """
+    out = []
+    while begin < end:
+        until, stop = begin + 9 * len(template), min(end, begin + 12 * len(template))
+        if stop == end:
+            until = end
+        todo, last = [(begin, stop)], until
+        while todo:
+            a, b = todo.pop()
+            if b - a < least:
+                continue
+            _, matched, x, y = align(text[a:b], template, low - a, high - a)
+            if not matched:
+                continue
+            if matched >= least and a + x < until:
+                out.append((matched, a + x, a + y))
+                last = max(last, a + y)
+            todo += [(a, a + x), (a + y, b)]
+        begin = last
+    return out
+
+
 class Index:
     def __init__(self, templates: Mapping[str, str], coverage: float):
         if sum(map(len, templates.values())) > MOST_BYTES:
@@ -139,19 +168,19 @@ class Index:
             for lo, hi in groups:
                 a = max(0, lo - BAND)
                 b = min(len(own), hi + BAND + len(template))
-                _, matched, begin, end = align(own[a:b], template, lo - BAND - a, hi + BAND - a)
-                if matched >= self.coverage * len(template) and matched:
-                    found.setdefault(d, []).append((-matched, k, a + begin, a + end))
+                for matched, begin, end in copies(own, template, lo - BAND, hi + BAND, a, b, self.coverage * len(template)):
+                    found.setdefault(d, []).append((-matched, k, begin, end))
         char = None
         for d, own in found.items():
-            kept: list[tuple] = []
+            kept: list[tuple] = []  # in the order of the text
             for r in sorted(set(own)):
-                if all(r[3] <= x[2] or x[3] <= r[2] for x in kept):
-                    kept.append(r)
+                i = bisect.bisect(kept, r[2], key=lambda x: x[2])
+                if (not i or kept[i - 1][3] <= r[2]) and (i == len(kept) or r[3] <= kept[i][2]):
+                    kept.insert(i, r)
             if char is None:
                 char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
             base = char[off[d]]
-            for neg, k, begin, end in sorted(kept, key=lambda r: r[2]):
+            for neg, k, begin, end in kept:
                 a, b = starts[first[d] + begin], ends[first[d] + end - 1]
                 out[d].append({"license": self.names[k], "start": int(char[a] - base), "end": int(char[b] - base), "matched": -neg, "coverage": -neg / len(self.words[k])})
         return out

@@ -73,3 +73,15 @@ def test_licenses_match_full_alignment(spark, documents):
     assert all(any(p.coverage == 1.0 and p.start == 4 for p in x.reports) for x in spans)
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
     assert licenses.scan_licenses(docs, templates={"a": "two words"}).filter(F.size("reports") > 0).count() == 0
+
+
+def test_adjacent_copies_are_reported_each():
+    import pyarrow as pa
+
+    index = licenses.Index(licenses.TEMPLATES, 0.8)
+    for name, t in licenses.TEMPLATES.items():
+        for n in (2, 3, 40):
+            for between in (" ", " and then ", "\n"):
+                got = index.scan(pa.array([between.join([t] * n)], pa.large_string()))[0]
+                step = len(t) + len(between)
+                assert [(x["license"], x["start"]) for x in got] == [(name, i * step) for i in range(n)]
