@@ -1,7 +1,9 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment reports coverage and spans.
 
 Templates and texts are sequences of words (runs of letters and digits, ASCII lower-cased). GRAM words in a row are
-hashed; of every WINNOW grams in a row the smallest hash is a fingerprint. An inverted index leads from a
+hashed; of every WINNOW grams in a row the smallest hash is a fingerprint. Where words changed one by one down to
+`coverage` may leave a template no GRAM + WINNOW - 1 words in a row, every gram of the text is looked up, of fewer words
+if need be (words added to the text besides may still hide such a copy). An inverted index leads from a
 fingerprint to templates and places in them. A text's fingerprints that the index knows vote for (template,
 diagonal); diagonals of one template within BAND of each other are one candidate. Each candidate's stretch of the
 text is aligned with the whole template: a local alignment by words, in a band of BAND words to either side of the
@@ -20,6 +22,7 @@ grouped by diagonal, so its work grows with its hits, not with its length times
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -116,13 +119,17 @@ class Index:
         if sum(map(len, templates.values())) > MOST_BYTES:
             raise ValueError(f"templates of more than {MOST_BYTES} bytes: scan with several parts of them")
         self.names, self.coverage = list(templates), coverage
-        self.words, places = [], []
+        self.words, places, self.every = [], [], set()
         for k, t in enumerate(templates.values()):
             data = LOWER[np.frombuffer(t.encode(), np.uint8)]
             w = word_hashes(data, *word_bounds(data, np.array([0, len(data)]), WORD))
             self.words.append(w)
-            n = min(GRAM, len(w))
-            if n:
+            if len(w):
+                least = max(1, math.ceil(coverage * len(w)))
+                run = max(1, -(-least // (len(w) - least + 1)))  # words in a row that changes down to coverage leave
+                n = min(GRAM, len(w), run)
+                if run < GRAM + WINNOW - 1:
+                    self.every.add(n)
                 grams = gram_hashes(w, n)
                 places += [(int(grams[i]), k, int(i), n) for i in (range(len(grams)))]
         self.lengths = sorted({p[3] for p in places})
@@ -144,7 +151,7 @@ class Index:
             grams = gram_hashes(words, n)
             if not len(grams):
                 continue
-            picked = winnowed(grams) if n == GRAM else np.arange(len(grams))
+            picked = winnowed(grams) if n == GRAM and n not in self.every else np.arange(len(grams))
             # a text's first and last gram are always looked up: a window there has no neighbour in the text
             whole = np.flatnonzero(np.diff(first) >= n)
             picked = np.unique(np.concatenate([picked, first[:-1][whole], first[1:][whole] - n]))

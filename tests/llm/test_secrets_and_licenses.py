@@ -85,3 +85,17 @@ def test_adjacent_copies_are_reported_each():
                 got = index.scan(pa.array([between.join([t] * n)], pa.large_string()))[0]
                 step = len(t) + len(between)
                 assert [(x["license"], x["start"]) for x in got] == [(name, i * step) for i in range(n)]
+
+
+def test_single_word_edits_at_every_place_are_found():
+    import pyarrow as pa
+
+    index = licenses.Index(licenses.TEMPLATES, 0.8)
+    for name in ("MIT-notice", "Apache-2.0-notice", "GPL-3.0-notice", "CC-BY-NC-4.0-notice"):
+        words = licenses.TEMPLATES[name].split()
+        for i in range(len(words)):
+            for new, skip in ((["zz"], 1), ([], 1), (["zz"], 0)):
+                x = " ".join(["qq", *words[:i], *new, *words[i + skip :], "rr"])
+                want = licenses.brute(x, {name: licenses.TEMPLATES[name]}, 0.8)
+                assert index.scan(pa.array([x], pa.large_string()))[0] or not want, x
+    assert [r["license"] for r in index.scan(pa.array(["Released under an MIT License"], pa.large_string()))[0]] == ["MIT-notice"]
