@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 #: Bytes of text that a worker handles at once; a longer text is a slice of its own.
 SLICE_BYTES = 1_500_000
@@ -29,8 +30,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder of spark.checkpoint.dir. Unset, it is a local one for a local master, which has no other hosts, and an error elsewhere."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path or "file:///tmp/checkpoints"
+
+
+_open: list[list[DataFrame]] = []
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -39,9 +46,24 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexiloom_path = path
+    for tables in _open:
+        tables.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that written() makes within; those still in the list at the end are deleted."""
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        for t in made:
+            dropped(t)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by written() that nothing reads any more."""
     path = getattr(df, "_lexiloom_path", None)
@@ -59,6 +81,33 @@ def free_name(wanted: str, taken: Sequence[str]) -> str:
     return wanted
 
 
+def col(name: str) -> Column:
+    """The column of exactly that name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame, prefix: str = "column_") -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns renamed at once to prefix and a number, and old name -> new name: no own name can clash with them."""
+    names = {c: f"{prefix}{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[col(c).alias(n) for c, n in names.items()]), names
+
+
+def spread_join(big: DataFrame, side: DataFrame, on: str, spread: str, how: str = "inner", share: int = 10_000, least: int = 1000) -> DataFrame:
+    """big joined with side, whose rows are unique by column on, however many rows of big one value of it has.
+
+    A value with more than `least` rows and more than 1/`share` of all is hot: there are at most `share` of those, so
+    their list can be broadcast. Rows of big with a hot value are dealt over pieces by a hash of column spread, and the
+    one row of side is copied to each piece. big is read twice and should be a written table.
+    """
+    n, piece, pieces = (free_name(x, [*big.columns, *side.columns]) for x in ("n_rows", "piece", "pieces"))
+    counts = big.groupBy(on).agg(F.count(F.lit(1)).alias(n))
+    total = counts.agg(F.sum(n).alias(piece))
+    hot = counts.crossJoin(F.broadcast(total)).filter((F.col(n) > least) & (F.col(n) > F.col(piece) / share)).select(on, F.ceil(F.col(n) / F.greatest(F.lit(float(least)), F.col(piece) / share)).cast("int").alias(pieces))
+    rows = big.join(F.broadcast(hot), on, "left").withColumn(piece, F.pmod(F.xxhash64(F.lit(5), spread), F.coalesce(pieces, F.lit(1))).cast("int")).drop(pieces)
+    copies = side.join(F.broadcast(hot), on, "left").withColumn(piece, F.explode(F.sequence(F.lit(0), F.coalesce(pieces, F.lit(1)) - 1))).drop(pieces)
+    return rows.join(copies, [on, piece], how).drop(piece)
+
+
 def arrow_map(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[], Callable[[pa.Array], list]], fields: list[T.StructField]) -> DataFrame:
     """Columns keep of df, with columns fields computed from the text column, slice by slice.
 
@@ -69,7 +118,7 @@ def arrow_map(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[],
     ship(df.sparkSession)
     new = {f.name.lower() for f in fields}
     keep = [c for c in keep if c.lower() not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(free_name("text", keep)))
+    source = df.select(*[col(c) for c in keep], col(text).cast("string").alias(free_name("text", keep)))
     schema = T.StructType([*[source.schema[c] for c in keep], *fields])
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -184,7 +233,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 def crc_mod(column: str, n: int):
     """crc32 of a doc_id as text, modulo n (null for null)."""
-    return F.crc32(F.col(column).cast("string")) % n
+    return F.crc32(col(column).cast("string")) % n
 
 
 def unit_hash(*columns):
@@ -192,15 +241,54 @@ def unit_hash(*columns):
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def sample_by(df: DataFrame, label: str, want: int, on: Sequence[str], most_labels: int = 64) -> DataFrame:
-    """About want rows of each label (all, if fewer), chosen by a hash of columns on: same rows on every run, no shuffle of rows.
+def _rated(df: DataFrame, label: str, want: int, most_rows: int) -> tuple[DataFrame | None, int, int]:
+    """A row a label with the rate (share of its rows whose hash to look at), the rows to take of each, and how many labels there are."""
+    counts = df.groupBy(label).count().filter(col(label).isNotNull()).limit(most_rows + 1).collect()
+    if len(counts) > most_rows:
+        raise ValueError(f"more than {most_rows} labels: a row of each would not fit the sample")
+    if not counts:
+        return None, 0, 0
+    want = max(1, min(want, most_rows // len(counts)))
+    rows = [(r[0], min(1.0, 1.5 * want / r[1])) for r in counts]
+    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(label, df.schema[label].dataType), T.StructField("rate", T.DoubleType())])), want, len(counts)
+
 
-    Labels past the most_labels commonest are left out.
+def sample_ids(labels: DataFrame, doc_id: str, label: str, want: int, most_rows: int = 16_000) -> DataFrame:
+    """About 1.5 * want distinct rows (id, label) of each label, those with the smallest hashes: the same ones on every run."""
+    labels = labels.select(col(doc_id).alias("id"), col(label).alias("label"))
+    rates, want, _ = _rated(labels, "label", want, most_rows)
+    if rates is None:
+        return labels.limit(0)
+    chosen = labels.join(F.broadcast(rates), "label").filter(unit_hash(F.lit(29), "id") < F.col("rate")).select("id", "label").distinct()
+    order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(29), "id"), "id")
+    return chosen.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * want).drop("place")
+
+
+def sample_texts(df: DataFrame, label: str, text: str, doc_id: str, want: int, *, most_rows: int = 16_000, most_bytes: int = 64 << 20, rated: bool = True) -> list[tuple]:
+    """(text, label) of `want` distinct rows of each label, or of all there are, by the smallest hashes of (doc_id, text).
+
+    The same rows on every run. The bounds are on what is fitted, and documented: want rows a label, most_rows rows, and
+    most_bytes bytes of text in equal parts for the labels, past which rows are left out (but not a label's first). No
+    label is left out. Null texts and labels take no part. Rows are looked at by a hash before any shuffle.
     """
-    counts = df.filter(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
-    if not counts:
-        return df.limit(0)
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col(label) == F.lit(r[0]), min(1.0, want / r["count"])).otherwise(rate)
-    return df.filter(unit_hash(*[F.col(c) for c in on]) < rate).limit(int(1.5 * want * len(counts)) + 64)
+    rows = df.select(col(label).alias("label"), col(text).cast("string").alias("body"), col(doc_id).cast("string").alias("id")).filter("label is not null and body is not null")
+    rates, want, labels = _rated(rows, "label", want, most_rows)
+    if rates is None:
+        return []
+    part = most_bytes // labels
+    rows = rows.join(F.broadcast(rates), "label").withColumn("h", F.xxhash64(F.lit(31), "id", "body"))
+    if rated:
+        rows = rows.filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.col("rate"))
+    rows = rows.groupBy("label", "h").agg(F.first("body").alias("body"))
+    order = Window.partitionBy("label").orderBy("h")
+    rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= want)
+    so_far = F.sum(F.octet_length("body")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("so_far", so_far).filter((F.col("so_far") <= part) | (F.col("place") == 1))
+    return sorted((r[0], r[1]) for r in rows.select("body", "label").collect())
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, text: str, doc_id: str, want: int, **bounds) -> list[tuple]:
+    """(text, label) of about `want` rows of docs for each label 0 and 1 of the table labels, by sample_ids and sample_texts."""
+    ids = sample_ids(labels.filter(col(label).isin(0, 1)), doc_id, label, want)
+    rows = docs.select(col(doc_id).alias("id"), col(text).cast("string").alias("body")).join(F.broadcast(ids), "id")
+    return sample_texts(rows, "label", "body", "id", want, rated=False, **bounds)
