@@ -1,6 +1,8 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -12,7 +14,7 @@ from lexiloom.llm import sharding, topk
 
 def brute(rows, queries, k):
     ok = lambda v: v is not None and all(x is not None and np.isfinite(x) for x in v)
-    whole = lambda v: [int(np.floor(1024 * float(x))) for x in v]
+    whole = lambda v: [math.floor(1024 * Fraction(x)) for x in v]
     have = [(i, whole(v)) for i, v in rows if i is not None and ok(v)]
     out = set()
     for q, v in queries:
@@ -24,16 +26,18 @@ def brute(rows, queries, k):
     return out
 
 
-@pytest.mark.parametrize("block", [3, 4096])
-def test_topk_is_exact(spark, block):
+@pytest.mark.parametrize("size", [400, 1 << 25])
+def test_topk_is_exact(spark, monkeypatch, size):
+    monkeypatch.setattr(topk, "TILE", 40 if size == 400 else 2048)
     r = random.Random(2)
     rows = [(i, [r.choice([-1.0, 0.0, 0.5, r.gauss(0, 1)]) for _ in range(4)]) for i in range(120)]
-    rows += [(200, None), (201, [1.0, None, 0.0, 1.0]), (202, [float("nan")] * 4), (203, [float("inf"), 0.0, 0.0, 0.0]), (204, [1.0]), (205, [2.0]), (206, []), (207, []), (None, [1.0] * 4), (208, [1e18] * 4), (209, [1e18] * 4)]
+    rows += [(200, None), (201, [1.0, None, 0.0, 1.0]), (202, [float("nan")] * 4), (203, [float("inf"), 0.0, 0.0, 0.0]), (204, [1.0]), (205, [2.0]), (206, []), (207, []), (None, [1.0] * 4), (208, [1e18] * 4), (209, [1e18] * 4), (210, [1.7e306, 1.0, 0.0, -1.0]), (211, [1.0, -1.0, 0.0, 0.5])]
+    rows += [(212, [0.25, 0.5, 0.75, i / 8]) for i in range(30)]  # one id, many vectors
     rows += [(300 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(60)] + rows[:5]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("score", F.lit(None))
-    asked = df.filter("vec_id % 10 = 0 or vec_id > 199 or vec_id is null")
-    want = brute(rows, [x for x in rows if x[0] is None or x[0] % 10 == 0 or x[0] > 199], 10)
-    got = topk.top_k(df, asked, block=block).collect()
+    asked = df.filter("vec_id % 10 = 0 or (vec_id > 199 and vec_id <> 212) or vec_id is null")
+    want = brute(rows, [x for x in rows if x[0] is None or x[0] % 10 == 0 or x[0] > 199 and x[0] != 212], 10)
+    got = topk.top_k(df, asked, pass_bytes=size).collect()
     assert {tuple(x) for x in got} == want and len(got) == len(want)
 
 
@@ -75,6 +79,35 @@ def test_shards_are_even_and_gapless(spark, documents, n):
             assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
 
 
+def test_sharding_query_matches_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    rows = sharding.query(spark, sf)
+    want = con.sql(sharding.SQL)
+    assert rows.columns == want.columns and sorted(map(tuple, rows.collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("fetch", [1, 4096])
+def test_quantiles_of_whole_strings(spark, monkeypatch, fetch):
+    monkeypatch.setattr(sharding, "FETCH", fetch)
+    r = random.Random(1)
+    texts = ["", "a", "ab", "é", "\U0001f600x", *[f"https://example.org/data/set-{i}" for i in range(40)], *["https://example.org/" + "".join(r.choice("abc") for _ in range(9)) for _ in range(50)]]
+    rows = [t for t in texts for _ in range(r.randrange(1, 9))] + ["https://example.org/data/set-7"] * 120
+    ordered = sorted(rows, key=str.encode)
+    df = spark.createDataFrame([(t,) for t in rows], "value string").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = [1, 2, len(rows), *[-(-len(rows) * k // 16) for k in range(1, 16)]]
+    assert sharding.quantiles(df, ranks) == [ordered[i - 1] for i in ranks]
+
+
+def test_sources_with_one_beginning_have_many_levels(spark):
+    rows = [(i, "x", "en", f"https://host-{i % 64:02}.example.org") for i in range(640)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    held = defaultdict(set)
+    for r in got.collect():
+        held[r.shard].add(rows[r.doc_id][3])
+    assert max(map(len, held.values())) <= 8  # of 64
+
+
 def test_shards_hold_few_values(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     held = defaultdict(set)
