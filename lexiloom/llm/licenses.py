@@ -1,22 +1,26 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment reports coverage and spans.
-
-Templates and texts are sequences of words (runs of letters and digits, ASCII lower-cased). GRAM words in a row are
-hashed; of every WINNOW grams in a row the smallest hash is a fingerprint. Where words changed one by one down to
-`coverage` may leave a template no GRAM + WINNOW - 1 words in a row, every gram of the text is looked up, of fewer words
-if need be (words added to the text besides may still hide such a copy). An inverted index leads from a
-fingerprint to templates and places in them. A text's fingerprints that the index knows vote for (template,
-diagonal); diagonals of one template within BAND of each other are one candidate. Each candidate's stretch of the
-text is aligned with the whole template: a local alignment by words, in a band of BAND words to either side of the
-candidate's diagonals (MATCH for equal words, MISS for a wrong, missing or added one), and so is what is left of the
-stretch before and after each alignment. One is reported if it covers at least `coverage` of the template's words; of
-reports that overlap in the text the one with most matched words stays.
-
-Defined cases: null, empty and word-less texts have no reports; a template with fewer than GRAM words is one gram of
-all its words; ties go to the template that comes first, then to the leftmost span; copies of a template in one text
-are reported each; repeated rows get equal results. Extra columns pass through where asked for.
-
-Scale: one pass, no shuffle; templates are a parameter, broadcast behind a check of their size. A text's hits are
-grouped by diagonal, so its work grows with its hits, not with its length times the templates'.
+"""License scans: winnowed fingerprints of templates in an inverted index pick candidates, banded alignment reports coverage and spans.
+
+Templates and texts are sequences of words (runs of letters and digits, ASCII lower-cased). Grams of words in a row are
+hashed; of every few grams in a row the smallest hash is a fingerprint, of a template as of a text, so that every stretch
+of gram + window - 1 words that both hold leaves a fingerprint in common. Gram (GRAM at most) and window (WINNOW at most)
+of a template are those of the shortest run that words changed one by one down to `coverage` must leave it (words added
+to the text besides may still hide such a copy). An inverted index leads from a fingerprint to the templates and places
+that have it; a text's fingerprint there is a hit on a diagonal (place in the text minus place in the template).
+
+Diagonals are taken in blocks of BLOCK; every block with a hit is one candidate, so a candidate's size is bounded,
+however its hits run together. A candidate's stretch of the text is aligned with the whole template: local alignment by
+words (MATCH for equal words, MISS for a wrong, missing or added one), in a band of BAND words to either side of the
+block. For each word of the text the best alignment that ends there counts (of equal ones the one with most equal words,
+then the shortest), if it covers at least `coverage` of the template's words. Of reports that overlap in the text the
+one with most matched words stays.
+
+Defined cases: null, empty and word-less texts have no reports; a template without words is never reported; ties go to
+the template that comes first, then to the leftmost span; copies of a template in one text are reported each; repeated
+rows get equal results; a text of any length is scanned whole; an empty table gives an empty result. Extra columns, of
+any names, pass through where asked for; a result column replaces one of its name.
+
+Scale: one pass, no shuffle; templates are a mapping or a table of checked size, broadcast. Candidates of a template are
+aligned side by side, and are at most a block for every BLOCK words of the text, so work grows with texts and their hits.
 """
 
 from __future__ import annotations
@@ -29,11 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import LOWER, arrow_map, buffers, gram_hashes, mask_of, word_bounds, word_hashes
+from .common import LOWER, arrow_map, buffers, col, gram_hashes, mask_of, word_bounds, word_hashes
 
 WORD = mask_of([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
-GRAM, WINNOW, BAND = 3, 2, 8
+GRAM, WINNOW, BAND, BLOCK = 3, 2, 8, 16
 MATCH, MISS = 2, -1
+#: Cells of alignments that are computed side by side.
+CELLS = 1 << 18
+#: Words that a template may have: what the packed cells of an alignment hold.
+MOST_WORDS = 1 << 17
 BITS = 20
 MOST_BYTES = 32 << 20
 #: Fixed texts of notices and license heads.
@@ -53,91 +61,85 @@ REPORT = T.StructType([T.StructField("license", T.StringType()), T.StructField("
 _ARROW = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64())]))
 
 
-def winnowed(grams: np.ndarray) -> np.ndarray:
-    """Places of the grams that are the smallest of some WINNOW in a row (the last of equals)."""
-    if len(grams) <= WINNOW:
-        return np.array([len(grams) - 1 - int(np.argmin(grams[::-1]))]) if len(grams) else np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(grams, WINNOW)
-    return np.unique(np.arange(len(views)) + WINNOW - 1 - np.argmin(views[:, ::-1], axis=1))
+def winnowed(grams: np.ndarray, window: int) -> np.ndarray:
+    """Places of the grams that are the smallest of some `window` in a row, or of all if fewer (the last of equals)."""
+    window = min(window, len(grams))
+    if window < 2:
+        return np.arange(len(grams))
+    views = np.lib.stride_tricks.sliding_window_view(grams, window)
+    return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], axis=1))
 
 
-def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[int, int, int, int]:
-    """Best local alignment of two word sequences within diagonals low to high (place in text minus place in template).
+_SCORE, _MATCHED = 44, 22  # a cell: score, matched words, first word (from the candidate's begin), so that the largest is the best
 
-    (score, matched words, begin, end) in the text; ties go to the alignment that ends leftmost in the text.
+
+def align(words: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarray, template: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+    """(candidate, matched, first, end) for each word that ends an alignment of `least` matched words or more.
+
+    Candidates lie side by side: diagonal d of candidate c is place begin[c] + d of words under the template's first word.
+    Only places from low[c] to high[c], the candidate's text, are aligned.
     """
-    cells: dict[int, tuple[int, int, int]] = {}  # place in the template -> score, matched, begin
-    best = (0, 0, 0, 0)
-    m = len(template)
-    for i in range(max(0, low), min(len(text), m + high)):
-        new: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i - high), min(m, i - low + 1)):
-            d = cells.get(j - 1, (0, 0, i))
-            equal = text[i] == template[j]
-            top = (d[0] + (MATCH if equal else MISS), d[1] + equal, d[2])
-            if (u := cells.get(j)) and u[0] + MISS > top[0]:
-                top = (u[0] + MISS, u[1], u[2])
-            if (v := new.get(j - 1)) and v[0] + MISS > top[0]:
-                top = (v[0] + MISS, v[1], v[2])
-            if top[0] > 0:
-                new[j] = top
-                if equal and top[0] > best[0]:
-                    best = (*top, i + 1)
+    width, m = BLOCK + 2 * BAND, len(template)
+    place = begin[:, None] + np.arange(width)
+    shift = np.arange(width, dtype=np.int64) << _SCORE
+    one, fresh = np.int64(1) << _SCORE, (np.int64(MATCH) << _SCORE) + (np.int64(1) << _MATCHED)
+    cells = np.zeros(place.shape, np.int64)
+    best: dict[tuple[int, int], int] = {}
+    for j in range(m):
+        inside = (place >= low[:, None]) & (place < high[:, None])
+        equal = inside & (words[np.clip(place, 0, len(words) - 1)] == template[j])
+        new = np.where(equal, np.maximum(cells + fresh, fresh + (place - begin[:, None])), cells + MISS * one)  # on along a diagonal, or begin
+        new[:, :-1] = np.maximum(new[:, :-1], cells[:, 1:] + MISS * one)  # a word of the template is missing
+        # words of the text are added: along the row each costs MISS
+        new = np.maximum.accumulate(np.where(inside, new, 0) - MISS * shift, axis=1) + MISS * shift
+        new[(new < one) | ~inside] = 0
+        if j + 1 >= least:
+            for c, b in zip(*(x.tolist() for x in np.nonzero(equal & ((new >> _MATCHED) & ((1 << _MATCHED) - 1) >= least)))):
+                key = (c, int(place[c, b]))
+                best[key] = max(best.get(key, 0), int(new[c, b]))
         cells = new
-    return best
+        place = place + 1
+    low22 = (1 << _MATCHED) - 1
+    return [(c, v >> _MATCHED & low22, int(begin[c]) + (v & low22), p + 1) for (c, p), v in best.items()]
 
 
-def copies(text: np.ndarray, template: np.ndarray, low: int, high: int, begin: int, end: int, least: float) -> list[tuple[int, int, int]]:
-    """(matched words, begin, end) of alignments in text[begin:end] that match `least` words and do not overlap.
-
-    After each alignment what is left before and after it is aligned again. Alignments are shorter than 3 templates, so
-    each lies whole in the window of 12 templates in whose first three quarters it begins: work grows with the text.
-    """
-    out = []
-    while begin < end:
-        until, stop = begin + 9 * len(template), min(end, begin + 12 * len(template))
-        if stop == end:
-            until = end
-        todo, last = [(begin, stop)], until
-        while todo:
-            a, b = todo.pop()
-            if b - a < least:
-                continue
-            _, matched, x, y = align(text[a:b], template, low - a, high - a)
-            if not matched:
-                continue
-            if matched >= least and a + x < until:
-                out.append((matched, a + x, a + y))
-                last = max(last, a + y)
-            todo += [(a, a + x), (a + y, b)]
-        begin = last
-    return out
+def disjoint(found: set[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of (template, matched, first, end) those with most matched words, then the first template, then the leftmost, that do not overlap."""
+    kept: list[tuple[int, int, int, int]] = []  # in the order of the text
+    for r in sorted(found, key=lambda r: (-r[1], r[0], r[2], r[3])):
+        i = bisect.bisect(kept, r[2], key=lambda x: x[2])
+        if (not i or kept[i - 1][3] <= r[2]) and (i == len(kept) or r[3] <= kept[i][2]):
+            kept.insert(i, r)
+    return kept
 
 
 class Index:
     def __init__(self, templates: Mapping[str, str], coverage: float):
-        if sum(map(len, templates.values())) > MOST_BYTES:
+        if sum(len(t.encode()) for t in templates.values()) > MOST_BYTES:
             raise ValueError(f"templates of more than {MOST_BYTES} bytes: scan with several parts of them")
-        self.names, self.coverage = list(templates), coverage
-        self.words, places, self.every = [], [], set()
+        self.names, self.words, self.least = list(templates), [], []
+        #: (gram, window) -> fingerprint -> (template, place)
+        self.index: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {}
         for k, t in enumerate(templates.values()):
             data = LOWER[np.frombuffer(t.encode(), np.uint8)]
             w = word_hashes(data, *word_bounds(data, np.array([0, len(data)]), WORD))
+            if len(w) > MOST_WORDS:
+                raise ValueError(f"template {self.names[k]} has more than {MOST_WORDS} words")
+            least = max(1, math.ceil(coverage * len(w) - 1e-9))
             self.words.append(w)
+            self.least.append(least)
             if len(w):
-                least = max(1, math.ceil(coverage * len(w)))
-                run = max(1, -(-least // (len(w) - least + 1)))  # words in a row that changes down to coverage leave
-                n = min(GRAM, len(w), run)
-                if run < GRAM + WINNOW - 1:
-                    self.every.add(n)
+                run = -(-least // (len(w) - least + 1))  # words in a row that changes down to coverage leave
+                n = min(GRAM, run)
+                window = min(WINNOW, run - n + 1)
+                own = self.index.setdefault((n, window), {})
                 grams = gram_hashes(w, n)
-                places += [(int(grams[i]), k, int(i), n) for i in (range(len(grams)))]
-        self.lengths = sorted({p[3] for p in places})
-        self.index: dict[int, list[tuple[int, int]]] = {}
-        self.bits = np.zeros(1 << BITS, bool)
-        for h, k, i, _ in places:
-            self.index.setdefault(h, []).append((k, i))
-            self.bits[h >> (64 - BITS)] = True
+                for i in winnowed(grams, window).tolist():
+                    own.setdefault(int(grams[i]), []).append((k, i))
+        self.bits = {}
+        for key, own in self.index.items():
+            self.bits[key] = np.zeros(1 << BITS, bool)
+            self.bits[key][np.fromiter((h >> (64 - BITS) for h in own), np.int64, len(own))] = True
 
     def scan(self, texts: pa.Array) -> list[list[dict]]:
         data, off = buffers(texts)
@@ -146,56 +148,56 @@ class Index:
         first = np.searchsorted(starts, off)
         doc = np.repeat(np.arange(len(texts)), np.diff(first))
         words = word_hashes(low, starts, ends)
-        votes: dict[tuple[int, int], list[int]] = {}
-        for n in self.lengths:
+        blocks: dict[int, set[tuple[int, int]]] = {}  # template -> (text, block of diagonals)
+        for (n, window), index in self.index.items():
             grams = gram_hashes(words, n)
-            if not len(grams):
-                continue
-            picked = winnowed(grams) if n == GRAM and n not in self.every else np.arange(len(grams))
-            # a text's first and last gram are always looked up: a window there has no neighbour in the text
-            whole = np.flatnonzero(np.diff(first) >= n)
-            picked = np.unique(np.concatenate([picked, first[:-1][whole], first[1:][whole] - n]))
-            picked = picked[self.bits[(grams[picked] >> np.uint64(64 - BITS)).astype(np.int64)]]
+            picked = winnowed(grams, window)
+            picked = picked[self.bits[n, window][(grams[picked] >> np.uint64(64 - BITS)).astype(np.int64)]]
             picked = picked[doc[picked] == doc[picked + n - 1]]
             for p in picked.tolist():
                 d = int(doc[p])
-                for k, i in self.index.get(int(grams[p]), ()):
-                    votes.setdefault((d, k), []).append(p - int(first[d]) - i)
+                for k, i in index.get(int(grams[p]), ()):
+                    blocks.setdefault(k, set()).add((d, (p - i - int(first[d])) // BLOCK))
+        found: dict[int, set[tuple[int, int, int, int]]] = {}
+        for k, own in blocks.items():
+            own = np.array(sorted(own), np.int64)
+            step = max(1, CELLS // (BLOCK + 2 * BAND))
+            for a in range(0, len(own), step):
+                d, g = own[a : a + step].T
+                begin = first[d] + g * BLOCK - BAND
+                for c, matched, x, y in align(words, begin, first[d], first[d + 1], self.words[k], self.least[k]):
+                    found.setdefault(int(d[c]), set()).add((k, matched, x, y))
         out: list[list[dict]] = [[] for _ in range(len(texts))]
-        found: dict[int, list[tuple]] = {}
-        for (d, k), diagonals in votes.items():
-            own, template = words[first[d] : first[d + 1]], self.words[k]
-            diagonals.sort()
-            groups: list[list[int]] = []
-            for g in diagonals:
-                if groups and g - groups[-1][1] <= BAND:
-                    groups[-1][1] = g
-                else:
-                    groups.append([g, g])
-            for lo, hi in groups:
-                a = max(0, lo - BAND)
-                b = min(len(own), hi + BAND + len(template))
-                for matched, begin, end in copies(own, template, lo - BAND, hi + BAND, a, b, self.coverage * len(template)):
-                    found.setdefault(d, []).append((-matched, k, begin, end))
-        char = None
-        for d, own in found.items():
-            kept: list[tuple] = []  # in the order of the text
-            for r in sorted(set(own)):
-                i = bisect.bisect(kept, r[2], key=lambda x: x[2])
-                if (not i or kept[i - 1][3] <= r[2]) and (i == len(kept) or r[3] <= kept[i][2]):
-                    kept.insert(i, r)
-            if char is None:
-                char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
-            base = char[off[d]]
-            for neg, k, begin, end in kept:
-                a, b = starts[first[d] + begin], ends[first[d] + end - 1]
-                out[d].append({"license": self.names[k], "start": int(char[a] - base), "end": int(char[b] - base), "matched": -neg, "coverage": -neg / len(self.words[k])})
+        if found:
+            char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
+            for d, own in found.items():
+                base = char[off[d]]
+                for k, matched, x, y in disjoint(own):
+                    out[d].append({"license": self.names[k], "start": int(char[starts[x]] - base), "end": int(char[ends[y - 1]] - base), "matched": matched, "coverage": matched / len(self.words[k])})
         return out
 
 
-def scan_licenses(docs: DataFrame, *, keep: Sequence[str] = ("doc_id",), text: str = "text", templates: Mapping[str, str] | None = None, coverage: float = 0.8) -> DataFrame:
-    """Columns keep of docs, and reports: license, start and end (code points), matched words and coverage, by start."""
-    shared = docs.sparkSession.sparkContext.broadcast(Index(templates or TEMPLATES, coverage))
+def read_templates(table: DataFrame, *, name: str = "license", text: str = "text") -> dict[str, str]:
+    """Name -> text of a table of templates, by name; an error if its texts have over MOST_BYTES bytes. Null names and texts are left out."""
+    rows = table.select(col(name).cast("string").alias("name"), col(text).cast("string").alias("text")).dropna().dropDuplicates(["name"])
+    if (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > MOST_BYTES:
+        raise ValueError(f"templates of more than {MOST_BYTES} bytes: scan with several parts of them")
+    return dict(sorted((r["name"], r["text"]) for r in rows.collect()))
+
+
+def template_files(spark, path: str) -> DataFrame:
+    """The table (license, text) of the text files of a folder or glob: a file's name without its last ending, and its whole text."""
+    name = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.[^.]*$", "")
+    return spark.read.text(path, wholetext=True).select(F.url_decode(name).alias("license"), F.col("value").alias("text"))
+
+
+def scan_licenses(docs: DataFrame, *, keep: Sequence[str] = ("doc_id",), text: str = "text", templates: Mapping[str, str] | DataFrame | None = None, coverage: float = 0.8) -> DataFrame:
+    """Columns keep of docs, and reports: license, start and end (code points), matched words and coverage, by start.
+
+    templates: name -> text, or a table (license, text); without them the notices and heads above.
+    """
+    own = read_templates(templates) if isinstance(templates, DataFrame) else TEMPLATES if templates is None else templates
+    shared = docs.sparkSession.sparkContext.broadcast(Index(own, coverage))
 
     def make():
         index = shared.value
@@ -210,10 +212,39 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("reports").cast("long").alias("n_reports"), F.array_join(F.array_sort(F.array_distinct(F.transform("reports", lambda r: r["license"]))), ",").alias("licenses"), F.coalesce(F.array_max(F.transform("reports", lambda r: r["coverage"])), F.lit(0.0)).alias("coverage"), spans.alias("spans"))
 
 
-def brute(text: str | None, templates: Mapping[str, str], coverage: float) -> set[str]:
-    """Licenses of which some stretch of the text covers enough, by unbanded alignment without fingerprints."""
+def brute(text: str | None, templates: Mapping[str, str], coverage: float = 0.8) -> list[tuple[str, int, int, int]]:
+    """(license, start, end, matched), by unbanded alignment of the whole text with every template, in plain loops."""
     import re
 
-    words = lambda t: np.array(re.findall(r"[0-9a-zA-Z\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in t or "")), object)
-    own = words(text)
-    return {k for k, t in templates.items() if len(w := words(t)) and (m := align(own, w, -len(w), len(own))[1]) and m >= coverage * len(w)}
+    def words(t):
+        return [(m[0].lower() if m[0].isascii() else "".join(c.lower() if c < "\x80" else c for c in m[0]), m.start(), m.end()) for m in re.finditer(r"[0-9a-zA-Z\x80-\U0010ffff]+", t or "")]
+
+    own, found = words(text), set()
+    for k, t in enumerate(templates.values()):
+        w = [x[0] for x in words(t)]
+        rows: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for j in range(len(w)):
+            for i in range(len(own)):
+                options = [(0, 0, 0)]
+                if (d := rows.get((j - 1, i - 1))) or own[i][0] == w[j]:
+                    equal = own[i][0] == w[j]
+                    if d:
+                        options.append((d[0] + (MATCH if equal else MISS), d[1] + equal, d[2]))
+                    if equal:
+                        options.append((MATCH, 1, i))
+                options += [(c[0] + MISS, c[1], c[2]) for c in (rows.get((j - 1, i)), rows.get((j, i - 1))) if c]
+                top = max(options)
+                if top[0] > 0:
+                    rows[j, i] = top
+                    if own[i][0] == w[j] and top[1] >= coverage * len(w) - 1e-9:
+                        found.add((k, i, top))
+    best: dict[tuple[int, int], tuple] = {}
+    for k, i, top in found:
+        best[k, i] = max(best.get((k, i), (0, 0, 0)), top)
+    spans = sorted(((-m, k, x, i + 1) for (k, i), (_, m, x) in best.items()))
+    kept: list[tuple] = []
+    for r in spans:
+        if all(r[3] <= q[2] or q[3] <= r[2] for q in kept):
+            kept.append(r)
+    names = list(templates)
+    return sorted([(names[k], own[x][1], own[y - 1][2], -m) for m, k, x, y in kept], key=lambda r: r[1])

@@ -9,7 +9,8 @@ whatever the frequency says.
 
 Defined cases: a null or empty text has no spans; a null owner counts as one unnamed owner, a null repository as
 one unnamed repository; repeated rows with one doc_id are one repository; ties in start go by kind in the order of
-KINDS, then end; an empty table gives an empty result. Extra columns pass through where asked for.
+KINDS, then end; an empty table gives an empty result; a text of any length is scanned whole, in time that grows with
+its length (its spans are walked in order). Extra columns, of any names, pass through where asked for.
 
 Scale: texts are scanned once, without a shuffle, and leave only narrow rows, written to the shared folder. Counts
 go (hash, owner, repository), (hash, owner), (hash), each combined before its shuffle, so a value with a third of
@@ -21,14 +22,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import arrow_map, buffers, written
+from .common import arrow_map, buffers, col, numbered, ship, written
 
 KINDS = ("assign", "access", "hex", "live")
 #: The base patterns, fixed by the contract.
@@ -78,10 +79,14 @@ def candidates(text: str, assign: bool = True, runs: bool = True, keys: bool = T
     if runs:
         out += [("hex", *m.span(), m.start(), m[0]) for m in HEX.finditer(text)]
     if keys:
-        taken = [(c[1], c[2]) for c in out]
+        taken = sorted((c[1], c[2]) for c in out)
+        i, reach = 0, 0  # how far the base spans that begin before the token's end go; both walk once over the text
         for m in TOKEN.finditer(text):
             v = m[0]
-            if re.search("[a-z]", v) and re.search("[A-Z]", v) and re.search("[0-9]", v) and bits(v) >= MIN_BITS and not any(a < m.end() and m.start() < b for a, b in taken):
+            while i < len(taken) and taken[i][0] < m.end():
+                reach = max(reach, taken[i][1])
+                i += 1
+            if reach <= m.start() and re.search("[a-z]", v) and re.search("[A-Z]", v) and re.search("[0-9]", v) and bits(v) >= MIN_BITS:
                 out.append(("token", *m.span(), m.start(), v))
     order = {"assign": 0, "access": 1, "hex": 2, "token": 3}
     return sorted(out, key=lambda c: (c[1], order[c[0]], c[2]))
@@ -109,10 +114,13 @@ def _make():
 
 
 def scan_secrets(docs: DataFrame, *, keep: Sequence[str] = ("doc_id",), text: str = "text", repository: str = "doc_id", owner: str = "source", most_repositories: int = 3, most_owners: int = 2) -> DataFrame:
-    """Columns keep of docs, with base_sha256, base and candidates (arrays of spans), each candidate's repositories, owners and whether it is live."""
-    names = {c: f"k{i}" for i, c in enumerate(dict.fromkeys([*keep, repository, owner]))}
-    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{text}`").alias("body"))
-    rows = arrow_map(source, list(names.values()), "body", _make, [T.StructField("found", T.ArrayType(CANDIDATE)), T.StructField("base_sha256", T.StringType())])
+    """Columns keep of docs, with base_sha256 and candidates (an array of spans): each candidate's repositories, owners and whether it is live.
+
+    A result column replaces a kept one of its name.
+    """
+    keep = [c for c in keep if c.lower() not in ("base_sha256", "candidates")]
+    docs, names = numbered(docs.select(*[col(c) for c in dict.fromkeys([*keep, repository, owner, text])]), "k")
+    rows = arrow_map(docs, [names[c] for c in dict.fromkeys([*keep, repository, owner])], names[text], _make, [T.StructField("found", T.ArrayType(CANDIDATE)), T.StructField("base_sha256", T.StringType())])
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
     each = rows.filter(F.size("found") > 0).select("row", F.coalesce(F.col(names[repository]).cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(names[owner]).cast("string"), F.lit("")).alias("own"), F.explode("found").alias("c")).select("row", "repo", "own", "c.*")
     counts = each.select("hash", "own", "repo").distinct().groupBy("hash", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.sum("n").alias("repositories"), F.count(F.lit(1)).alias("owners"))
@@ -120,7 +128,8 @@ def scan_secrets(docs: DataFrame, *, keep: Sequence[str] = ("doc_id",), text: st
     order = F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).when(F.col("kind") == "hex", 2).otherwise(3)
     listed = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", order.alias("place"), "end", "kind", "value_start", "hash", "repositories", "owners", "live"))).alias("candidates"))
     empty = F.array().cast(listed.schema["candidates"].dataType)
-    out = rows.drop("found").join(listed, "row", "left").withColumn("candidates", F.coalesce("candidates", empty))
+    out = rows.filter(F.size("found") > 0).drop("found").join(listed, "row")  # rows without a candidate are not shuffled
+    out = out.unionByName(rows.filter(F.size("found") == 0).drop("found").withColumn("candidates", empty))
     return out.select(*[F.col(names[c]).alias(c) for c in keep], "base_sha256", "candidates")
 
 
@@ -131,22 +140,43 @@ def all_spans(candidates: str = "candidates"):
     return F.array_join(F.transform(F.array_sort(F.array_distinct(F.concat(base, live))), lambda c: F.concat_ws(":", c["k"], c["s"].cast("string"), c["e"].cast("string"))), ",")
 
 
+def masked(text: str, spans: Sequence[tuple[int, int]], mark: str) -> str:
+    """text with the mark for each of the spans, which are sorted; one that begins within another goes with it."""
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", owner: str = "source", mark: str = "[SECRET]", **options) -> DataFrame:
-    """docs, same columns: every base value, and every other live value, replaced by the mark."""
-    names = {c: f"d{i}" for i, c in enumerate(docs.columns)}
-    found = scan_secrets(docs.withColumnsRenamed(names), keep=list(names.values()), text=names[text], repository=names[doc_id], owner=names[owner], **options)
-    spans = F.expr("array_sort(transform(filter(candidates, c -> c.kind <> 'token' or c.live), c -> struct(c.value_start as s, c.end as e)))")
-    found = found.withColumn("_cut", spans)
-    body, mark = names[text], mark.replace("'", "''")
-    made = F.expr(f"""aggregate(_cut, named_struct('t', '', 'at', 0),
-        (a, c) -> case when c.s >= a.at then named_struct('t', concat(a.t, substring({body}, a.at + 1, c.s - a.at), '{mark}'), 'at', c.e)
-                       else named_struct('t', a.t, 'at', greatest(a.at, c.e)) end,
-        a -> concat(a.t, substring({body}, a.at + 1)))""")
-    found = found.withColumn("_new", F.when(F.size("_cut") > 0, made))
-    out = {c: F.col(n) for c, n in names.items()} | {text: F.coalesce("_new", body)}
-    if "n_chars" in names:
-        out["n_chars"] = F.coalesce(F.length("_new").cast(docs.schema["n_chars"].dataType), names["n_chars"])
-    return found.select(*[x.alias(c) for c, x in out.items()])
+    """docs, same columns and rows: every base value, and every other live value, replaced by the mark.
+
+    A null or empty text, and one without secrets, stays as it is; repeated rows are masked each, and count as one
+    repository; n_chars, if there is such a column, follows the text; an empty table gives an empty one.
+    """
+    columns, chars = docs.columns, docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    source, names = numbered(docs)
+    found = scan_secrets(source, keep=list(names.values()), text=names[text], repository=names[doc_id], owner=names[owner], **options)
+    chosen = F.filter("candidates", lambda c: (c["kind"] != "token") | c["live"])
+    found = found.withColumn("cut", F.array_sort(F.transform(chosen, lambda c: F.struct(c["value_start"].alias("s"), c["end"].alias("e"))))).drop("candidates", "base_sha256")
+    rest = [c for c in found.columns if c not in (names[text], "cut")]
+    found = found.select(*rest, "cut", F.col(names[text]).cast("string").alias(names[text]))
+    hit = found.filter(F.size("cut") > 0)
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cuts, bodies = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1)
+            new = pa.array([masked(t, [(c["s"], c["e"]) for c in own], mark) for t, own in zip(bodies.to_pylist(), cuts)], bodies.type)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], new], names=b.schema.names)
+
+    hit = hit.mapInArrow(run, hit.schema)
+    if chars is not None:
+        hit = hit.withColumn(names["n_chars"], F.length(names[text]).cast(chars))
+    out = hit.unionByName(found.filter(F.size("cut") == 0))
+    return out.select(*[F.col(names[c]).alias(c) for c in columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
