@@ -6,10 +6,12 @@ merged from single bytes, held in a doubly linked list, by a heap of (rank, posi
 the leftmost among equals, and entries that an earlier merge has made stale are passed over.
 
 Defined cases: a null or empty text has no ids; decoded ids give back exactly the text's bytes; special-token
-strings in a text are ordinary text. Repeated rows are encoded each for itself.
+strings in a text are ordinary text; repeated rows are encoded each for itself; an empty table gives an empty result; a
+text of any length is encoded whole, a pre-token of n bytes in time n log n. Extra columns, of any names, pass through
+where asked for; a result column replaces one of its name.
 
 Scale: one pass, no shuffle; the vocabulary (a file of fixed size, read on the driver) is broadcast. A worker keeps
-the ids of pre-tokens it has met in a memo of at most MEMO entries, emptied when full.
+the ids of pre-tokens it has met in a memo of at most MEMO entries of at most LONGEST signs, emptied when full.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, types as T
 
-from .common import arrow_map, buffers
+from .common import arrow_map, buffers, col, free_name, ship
 
 MEMO = 400_000
+LONGEST = 48
 #: White space as Unicode defines it; the regex library's own class also has the separators 1C to 1F.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -76,15 +79,17 @@ class PerfectHash:
 
 
 class Memo(dict):
-    """key -> make(key), of at most MEMO keys."""
+    """key -> make(key), of at most MEMO keys, none of them a text of over LONGEST signs."""
 
     def __init__(self, make):
         self.make = make
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[key] = self.make(key)
+        out = self.make(key)
+        if isinstance(key, int) or len(key) <= LONGEST:
+            if len(self) >= MEMO:
+                self.clear()
+            self[key] = out
         return out
 
 
@@ -182,13 +187,11 @@ def encode(docs: DataFrame, *, keep: Sequence[str] = ("doc_id",), text: str = "t
 
 def decode(docs: DataFrame, *, ids: str = "ids", out: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """docs with column out: the text of the ids (null for null; bytes that are no UTF-8 become U+FFFD)."""
-    from .common import free_name, ship
-
     ship(docs.sparkSession)
     shared = _codec(docs.sparkSession, path, pattern)
     keep = [c for c in docs.columns if c.lower() != out.lower()]
     tmp = free_name("ids_in", keep)
-    source = docs.select(*keep, docs[ids].alias(tmp))
+    source = docs.select(*[col(c) for c in keep], col(ids).alias(tmp))
 
     def run(batches):
         codec = shared.value

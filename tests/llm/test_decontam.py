@@ -57,6 +57,26 @@ def test_removal_keeps_clean_documents_and_columns(spark, documents):
     assert kept == {d for d, v in hits.items() if not v[1]}
 
 
+def test_one_text_many_times_with_many_chunks(spark):
+    r = random.Random(1)
+    items = [(i, " ".join(f"w{r.randrange(900)}" for _ in range(14))) for i in range(40)]
+    text = "so " + ". ".join(t for _, t in items[::2]) + " end"
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    out = decontam.scan_benchmark(docs, spark.createDataFrame(items, "item_id long, text string"), chunk_bytes=1000, clean=True)
+    n, hit, names = decontam.brute([(0, text)], items)[0]
+    got = out.groupBy("n_words", "n_hit", "items", "clean_text").count().collect()
+    assert [(x.n_words, x.n_hit, x["items"], x["count"]) for x in got] == [(n, hit, names, 10_000)]
+
+
+def test_windows_take_a_few_bytes_for_a_byte_of_items():
+    import pickle
+
+    r = random.Random(5)
+    items = [(str(i), " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 9))) for _ in range(400))) for i in range(400)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontam.WindowSet(items, 10))) < 6 * size + (1 << 20)
+
+
 def test_empty_tables(spark, documents):
     docs, none = documents(["a b c", None]), spark.createDataFrame([], "item_id long, text string")
     assert decontam.scan_benchmark(docs, none).filter("n_hit > 0").count() == 0
