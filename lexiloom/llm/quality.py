@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import LOWER, SLICE_BYTES, arrow_map, buffers, crc_mod, mask_of, sample_by, word_bounds, word_hashes
+from .common import LOWER, SLICE_BYTES, arrow_map, buffers, crc_mod, mask_of, labelled_texts, word_bounds, word_hashes
 
 SPACE = mask_of([0x20, *range(0x09, 0x0E)])
 GRAMS, PAIRS = 4096, 2048
@@ -128,11 +128,10 @@ def leading(x: np.ndarray, rank: int, seed: int = 3, rounds: int = 6) -> np.ndar
     return np.ascontiguousarray((q @ v.T)[:, :rank])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model from about `sample` labelled rows of each class."""
-    chosen = sample_by(labels.select(doc_id, label).filter(F.col(label).isin(0, 1)).distinct(), label, sample, [doc_id])
-    rows = docs.select(F.col(doc_id), F.col(text).cast("string").alias("body")).join(F.broadcast(chosen), doc_id).filter("body is not null").select("body", label).limit(4 * sample + 64).collect()
-    return Model([r[0] for r in rows], [r[1] for r in rows])
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE, **bounds) -> Model:
+    """A model from at most `sample` labelled rows of each class (see common.sample_texts for the bounds)."""
+    rows = labelled_texts(docs, labels, label, text, doc_id, sample, **bounds)
+    return Model([t for t, _ in rows], [y for _, y in rows])
 
 
 def score_quality(docs: DataFrame, model: Model, *, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:

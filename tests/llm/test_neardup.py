@@ -3,6 +3,8 @@ import random
 import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexiloom.llm import neardup
@@ -68,8 +70,61 @@ def test_equal_signature_bytes_of_an_earlier_band_hide_no_pair(spark):
     sig = bytes(range(neardup.BANDS * neardup.ROWS))
     bands = {i: [100 * b + (0 if b == 1 else i) for b in range(neardup.BANDS)] for i in (1, 2)}
     reps = spark.createDataFrame([(i, bytearray(sig), bands[i]) for i in (1, 2)], "rep long, sig binary, bands array<long>")
-    rows = lambda shared: spark.createDataFrame([(100 * b, b, i, i) for b in shared for i in (1, 2)], "key long, band int, rep long, comp long")
-    assert [tuple(sorted(r)) for r in neardup._tiled_links(rows([1]), reps, docs, 5, 80).collect()] == [(1, 2)]
+    rows = neardup.written(spark.createDataFrame([(100, 1, i, i, 55 + i, 200) for i in (1, 2)], "key long, band int, rep long, comp long, n long, n_bytes long"))
+    assert [tuple(sorted(r)) for r in neardup._tiled_links(rows, reps, docs, 5, 80).collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("tile,tile_bytes", [(64, 1 << 22), (1024, 20_000)])
+def test_tiles_of_a_large_bucket_lose_no_link(spark, monkeypatch, tile, tile_bytes):
+    """A bucket of 2,000 texts, each two of similarity 0.7 to 0.9 or so and in components of their own: links of the tiles connect what all links do."""
+    monkeypatch.setattr(neardup, "TILE", tile)
+    monkeypatch.setattr(neardup, "TILE_BYTES", tile_bytes)
+    r, m = random.Random(3), 2000
+    stock = [f"w{i}" for i in range(60)]
+    texts = [" ".join(stock[: 50 + i % 3] + [f"a{r.randrange(40)}" for _ in range(r.randrange(2, 9))]) for i in range(m)]
+    x, at = neardup.shingle_sets(pa.array(texts, pa.large_string()), 1)
+    sig_bands = neardup._scan(1)()(pa.array(texts, pa.large_string()))
+    words, number = np.unique(x, return_inverse=True)
+    matrix = np.zeros((m, len(words)), np.float32)
+    matrix[np.repeat(np.arange(m), np.diff(at)), number] = 1
+    both, size = matrix @ matrix.T, np.diff(at)
+    linked = 100 * both >= 80 * (size[:, None] + size - both)
+    band = [b.as_py() for b in sig_bands[3]]
+    key = max({b[0] for b in band}, key=[b[0] for b in band].count)
+    inside = [i for i in range(m) if band[i][0] == key]
+    assert len(inside) > 100
+    up = {i: i for i in inside}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    def join(pairs):
+        for a, b in pairs:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+        out = {i: root(i) for i in inside}
+        up.update({i: i for i in inside})
+        return out
+
+    want = join((i, j) for k, i in enumerate(inside) for j in inside[:k] if linked[i, j])
+    rows = neardup.written(spark.createDataFrame([(key, 0, i, 0 if i in inside[:40] else i, int(size[i]), len(texts[i])) for i in inside], "key long, band int, rep long, comp long, n long, n_bytes long"))
+    reps = spark.createDataFrame([(i, bytearray(sig_bands[4][i].as_py()), band[i]) for i in inside], "rep long, sig binary, bands array<long>")
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = [tuple(p) for p in neardup._tiled_links(rows, reps, docs, 1, 80).collect()]
+    assert all(linked[a, b] for a, b in got)
+    start = [(inside[0], i) for i in inside[1:40]]  # one component from before
+    before = join(start + [(i, j) for k, i in enumerate(inside) for j in inside[:k] if linked[i, j]])
+    assert join(start + got) == before and len(set(want.values())) < len(inside)
+
+
+def test_hot_values_are_joined_whole(spark):
+    big = neardup.written(spark.createDataFrame([(0 if i % 3 else i, i) for i in range(6000)], "k long, v long"))
+    side = spark.createDataFrame([(i, str(i)) for i in range(3000)], "k long, s string")
+    want = {(k, i, str(k)) for k, i in ((0 if i % 3 else i, i) for i in range(6000)) if k < 3000}
+    assert {(r.k, r.v, r.s) for r in neardup.spread_join(big, side, "k", "v").collect()} == want
+    assert neardup.spread_join(big, side, "k", "v", "left").count() == 6000
 
 
 def test_nothing_to_link(spark, documents):
