@@ -17,7 +17,7 @@ def _parsed(s, d):
 
 
 def _extracted(s, d):
-    return paths.extract_paths(_parsed(s, d), stemmed=False)
+    return paths.extract_ngrams(parse_lines(star_corpus(s, d)), stemmed=False)
 
 
 def _triples(s, d):
@@ -81,7 +81,7 @@ def _noun_pairs(s, d):
 
 
 def _document_triples(s, d):
-    return counts.triples(paths.extract_paths(parse_tokens(parse_lines(document_corpus(s, d))), stemmed=False))
+    return counts.triples(paths.extract_ngrams(parse_lines(document_corpus(s, d)), stemmed=False))
 
 
 def _document_path_margins(s, d):

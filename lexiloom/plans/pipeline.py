@@ -9,15 +9,15 @@ from ..functions.stem import identity, stem
 from ..operators import evaluate as ev
 from ..operators.counts import triples
 from ..operators.mi import mi_scores
-from ..operators.parse import parse_lines, parse_tokens
-from ..operators.paths import extract_paths
+from ..operators.parse import parse_lines
+from ..operators.paths import extract_ngrams
 from ..operators.similarity import convert_pairs, final_similarity
 from ..sources.readers import read_corpus, read_pairs
 from ..sources.sinks import write_tagged, write_tsv
 
 
 def triples_of(lines: DataFrame, stemmed: bool = True) -> DataFrame:
-    return triples(extract_paths(parse_tokens(parse_lines(lines)), stemmed))
+    return triples(extract_ngrams(parse_lines(lines), stemmed))
 
 
 def score(lines: DataFrame, phrases: DataFrame, stemmed: bool = True) -> DataFrame:

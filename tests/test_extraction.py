@@ -5,7 +5,8 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lexiloom.operators.parse import parse_lines, parse_tokens
-from lexiloom.operators.paths import extract_paths, noun_pair_paths
+from lexiloom.operators import paths
+from lexiloom.operators.paths import extract_ngrams, extract_paths, noun_pair_paths
 
 
 def lines(spark, *values):
@@ -38,8 +39,9 @@ CASES = {
 
 @pytest.mark.parametrize("ngram", CASES)
 def test_paths(spark, ngram):
-    got = extract_paths(parse_tokens(parse_lines(lines(spark, f"h\t{ngram}\t4")))).collect()
-    assert sorted((r.path, r.x, r.y) for r in got) == sorted(CASES[ngram]) and all(r.cnt == 4 for r in got)
+    line = parse_lines(lines(spark, f"h\t{ngram}\t4"))
+    for got in (extract_ngrams(line).collect(), extract_paths(parse_tokens(line)).collect()):
+        assert sorted((r.path, r.x, r.y) for r in got) == sorted(CASES[ngram]) and all(r.cnt == 4 for r in got)
 
 
 def shortest(heads, s, d):
@@ -75,4 +77,16 @@ def test_every_head_assignment_of_small_ngrams(spark):
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="ab/ NV\t0123", max_size=30), max_size=8))
 def test_any_text_parses(spark, values):
-    extract_paths(parse_tokens(parse_lines(lines(spark, *values, "h\tx\t1")))).collect()
+    line = parse_lines(lines(spark, *values, "h\tx\t1"))
+    assert sorted(extract_ngrams(line).collect()) == sorted(extract_paths(parse_tokens(line)).collect())
+
+
+def test_long_trees_and_many_nouns(spark, monkeypatch):
+    """A chain of 300 words and a star of 60 nouns, in pieces of few pairs."""
+    monkeypatch.setattr(paths, "MOST_PAIRS", 100)
+    chain = " ".join(f"w{i}/{'NN' if i in (0, 299) else 'VB'}/d/{i}" for i in range(300))
+    star = " ".join(["eat/VB/ROOT/0", *[f"n{i}/NN/obj/1" for i in range(60)]])
+    got = extract_ngrams(parse_lines(lines(spark, f"h\t{chain}\t1", f"h\t{star}\t2")), stemmed=False).collect()
+    long = [r for r in got if r.cnt == 1]
+    assert [(r.x, r.y) for r in long] == [("w0", "w299")] and long[0].path == "N:>d:" + "".join(f"V:w{i}:>d:" for i in range(1, 299)) + "N"
+    assert sorted((r.x, r.y, r.path) for r in got if r.cnt == 2) == sorted((f"n{i}", f"n{j}", "N:<obj:V:eat:>obj:N") for i in range(60) for j in range(i + 1, 60))
