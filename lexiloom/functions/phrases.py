@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from .stem import stem
+from .stem import stem, stem_lower
 
 # Auxiliary verb forms, and particles.
 AUX = [
@@ -51,7 +51,7 @@ def phrase_to_path(phrase: Column, normal: Callable[[Column], Column] = stem) ->
     )
 
 
-def phrase_to_path_eval(phrase: Column, normal: Callable[[Column], Column] = stem) -> Column:
+def phrase_to_path_eval(phrase: Column, normal: Callable[[Column], Column] = stem_lower) -> Column:
     """The evaluator's path: every X and Y goes, one or two words are taken, a passive has an agent."""
     words = _words(F.translate(phrase, "XY", ""))
     n = F.size(words)

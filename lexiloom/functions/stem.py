@@ -1,7 +1,7 @@
 """Porter's stemmer (1980), with -bli -> -ble and -logi -> -log, and its Spark forms.
 
-Case matters: upper-case letters are consonants, as the source data's convention has it. Words of one or two
-characters stay, null becomes the empty string.
+Case matters: upper-case letters are consonants, as the source data's convention has it; stem_lower lower-cases first,
+as the evaluator's stemmer does. Words of one or two characters stay, null becomes the empty string.
 """
 
 from __future__ import annotations
@@ -103,15 +103,15 @@ def stem(words: pd.Series) -> pd.Series:
     return words.map(porter, na_action=None)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_all(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: None if ws is None else [porter(w) for w in ws])
+@F.pandas_udf(T.StringType())
+def stem_lower(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: porter(w and w.lower()), na_action=None)
 
 
 def identity(words: Column) -> Column:
     return F.coalesce(words, F.lit(""))
 
 
-def stem_vocabulary(df: DataFrame, column: str) -> DataFrame:
+def stem_vocabulary(df: DataFrame, column: str, lowercase: bool = False) -> DataFrame:
     """word, stem of each distinct word of the column: the stemmer runs once a word, not once a row."""
-    return df.select(F.col(column).alias("word")).filter("word is not null").distinct().withColumn("stem", stem("word"))
+    return df.select(F.col(column).alias("word")).filter("word is not null").distinct().withColumn("stem", (stem_lower if lowercase else stem)("word"))

@@ -15,7 +15,7 @@ DIGITS = 9
 def score_map(scores: DataFrame) -> DataFrame:
     """The largest score of each unordered pair, of the positive ones; rounded, so that equal sums added in another order tie."""
     score = F.round("score", DIGITS)
-    return scores.filter(score > 0).groupBy(F.least("p1", "p2").alias("p1"), F.greatest("p1", "p2").alias("p2")).agg(F.max(score).alias("score"))
+    return scores.filter((score > 0) & ~F.isnan("score")).groupBy(F.least("p1", "p2").alias("p1"), F.greatest("p1", "p2").alias("p2")).agg(F.max(score).alias("score"))
 
 
 def gold(pairs: DataFrame) -> DataFrame:

@@ -5,44 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.phrases import phrase_to_path, phrase_to_path_eval
-from ..functions.stem import identity, stem_vocabulary
+from ..functions.stem import DERIVED, REMOVED, SHORTENED, identity, stem, stem_lower, stem_vocabulary
 from ..operators import counts, evaluate as ev, paths, similarity as sim
 from ..operators.mi import mi_scores, sum_mi
 from ..operators.parse import parse_lines, parse_tokens
-from ..sources.readers import document_corpus, star_corpus, star_phrases, table
+from ..sources.readers import document_corpus, odd_corpus, read_corpus, read_gold, read_pairs, read_scores, star_corpus, star_phrases, table
+from ..sources.sinks import TAGS, write_tagged, write_tsv
+from .session import scratch_path
 
 
 def _parsed(s, d):
     return parse_tokens(parse_lines(star_corpus(s, d)))
 
 
-def _extracted(s, d):
-    return paths.extract_ngrams(parse_lines(star_corpus(s, d)), stemmed=False)
+def _extracted(s, d, stemmed=False):
+    return paths.extract_ngrams(parse_lines(star_corpus(s, d)), stemmed)
 
 
-def _triples(s, d):
-    return counts.triples(_extracted(s, d))
+def _triples(s, d, stemmed=False):
+    return counts.triples(_extracted(s, d, stemmed))
 
 
-def _mi(s, d):
-    return mi_scores(_triples(s, d).persist()).persist()
+def _mi(s, d, stemmed=False):
+    return mi_scores(_triples(s, d, stemmed).persist()).persist()
 
 
-def _pairs(s, d):
-    return sim.convert_pairs(star_phrases(s, d), identity)
+def _pairs(s, d, stemmed=False):
+    return sim.convert_pairs(star_phrases(s, d), stem if stemmed else identity)
 
 
-def _scores(s, d):
-    return sim.final_similarity(_mi(s, d), _pairs(s, d)).persist()
+def _scores(s, d, stemmed=False):
+    return sim.final_similarity(_mi(s, d, stemmed), _pairs(s, d, stemmed)).persist()
 
 
-def _gold(s, d):
-    return ev.gold(_pairs(s, d))
+def _gold(s, d, stemmed=False):
+    return ev.gold(_pairs(s, d, stemmed))
 
 
-def _judged(s, d):
+def _judged(s, d, stemmed=False):
     """Scores, gold labels, and the ranking of the one by the other."""
-    scores, gold = _scores(s, d), _gold(s, d).persist()
+    scores, gold = _scores(s, d, stemmed), _gold(s, d, stemmed).persist()
     return scores, gold, ev.cumulative_pr(ev.label_scores(scores, gold), gold)
 
 
@@ -70,9 +72,9 @@ def _phrases(s):
     return s.createDataFrame([(p,) for p in PHRASES], "phrase string")
 
 
-def _parse_tokens(s, d):
+def _parse_tokens(parsed):
     t = F.explode("tokens").alias("t")
-    return _parsed(s, d).select("cnt", t).groupBy("t.word", "t.pos", "t.dep", "t.head").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt")).select("word", "pos", "dep", "head", "n", "cnt")
+    return parsed.select("cnt", t).groupBy("t.word", "t.pos", "t.dep", "t.head").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt")).select("word", "pos", "dep", "head", "n", "cnt")
 
 
 def _noun_pairs(s, d):
@@ -93,11 +95,81 @@ def _stem_vocabulary(s, d):
     return stem_vocabulary(words, "w")
 
 
+def _counted(df, *by):
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt"))
+
+
+def _odd(s, d):
+    return parse_lines(odd_corpus(s, d))
+
+
+def _corpus_files(s, d):
+    """The corpus as compressed files in two folders, read back by a glob and a path."""
+    out = scratch_path(s)
+    lines = star_corpus(s, d).withColumn("side", F.pmod(F.xxhash64("value"), F.lit(3)))
+    for k in range(3):
+        lines.filter(f"side = {k}").select("value").write.text(f"{out}/part{k}", compression="gzip" if k else None)
+    return parse_lines(read_corpus(s, f"{out}/part[01],{out}/part2/*.gz"))
+
+
+def _phrase_files(s, d):
+    """Positive and negative pairs as files, with lines that are none; and a path where no file is."""
+    out, phrases = scratch_path(s), star_phrases(s, d)
+    for label in ("pos", "neg"):
+        own = phrases.filter(F.col("label") == label).select("phrase1", "phrase2")
+        write_tsv(own.unionByName(s.createDataFrame([("X Y", "one two three four five"), ("", "")], own.schema)), f"{out}/{label}")
+        s.createDataFrame([("one field",), ("",)], "value string").write.mode("append").text(f"{out}/{label}")
+    return f"{out}/pos", f"{out}/neg", f"{out}/none"
+
+
+def _read_pairs(s, d):
+    pos, neg, _ = _phrase_files(s, d)
+    phrases = read_pairs(s, pos, "pos").unionByName(read_pairs(s, neg, "neg"))
+    return ev.gold(sim.convert_pairs(phrases, identity))
+
+
+def _read_gold(s, d):
+    pos, neg, none = _phrase_files(s, d)
+    return read_gold(s, pos, "pos", identity).unionByName(read_gold(s, neg, "neg", identity)).unionByName(read_gold(s, none, "neg"))
+
+
+def _score_files(s, d):
+    out, scores = scratch_path(s), _scores(s, d)
+    write_tsv(scores, out)
+    odd = ["a\tb", "a\tb\tNaN", "a\tb\t-1", "a\tb\t0", "a\tb\tx", "", "  p\tq\t0.5\tmore  "]
+    s.createDataFrame([(x,) for x in odd], "value string").write.mode("append").text(out)
+    return _rounded(read_scores(s, out), "score")
+
+
+def _tagged_files(s, d):
+    out = scratch_path(s)
+    write_tagged(_triples(s, d), out)
+    back = s.read.parquet(out)
+    tag = F.create_map(*[F.lit(x) for k, v in TAGS.items() for x in (v, k)])
+    return back.select(tag[F.col("family")].alias("tag"), "path", "slot", "word", "cnt")
+
+
 QUERIES = {
-    "parse_lines": lambda s, d: parse_lines(star_corpus(s, d)).groupBy("ngram").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt")),
-    "parse_tokens": _parse_tokens,
+    "parse_lines": lambda s, d: _counted(parse_lines(star_corpus(s, d)), "ngram"),
+    "read_corpus_files": lambda s, d: _counted(_corpus_files(s, d), "ngram"),
+    "read_phrase_files": _read_pairs,
+    "read_gold_files": _read_gold,
+    "read_score_files": _score_files,
+    "write_tagged_files": _tagged_files,
+    "odd_lines": lambda s, d: _counted(_odd(s, d), "ngram"),
+    "odd_tokens": lambda s, d: _parse_tokens(parse_tokens(_odd(s, d))),
+    "odd_paths": lambda s, d: _counted(paths.extract_ngrams(_odd(s, d)), "path", "x", "y"),
+    "odd_noun_pair_paths": lambda s, d: _counted(paths.noun_pair_paths(parse_tokens(_odd(s, d))).withColumn("place", F.array_join("path", " ")), "place"),
+    "extract_paths_stemmed": lambda s, d: _counted(_extracted(s, d, True), "path", "x", "y"),
+    "triples_stemmed": lambda s, d: _triples(s, d, True),
+    "mi_scores_stemmed": lambda s, d: _rounded(_mi(s, d, True), "mi"),
+    "final_similarity_stemmed": lambda s, d: _rounded(_scores(s, d, True), "score"),
+    "best_f1_stemmed": lambda s, d: _rounded(ev.best_f1(_judged(s, d, True)[2]), "threshold", "f1", "precision", "recall"),
+    "phrase_to_path_stemmed": lambda s, d: _phrases(s).select("phrase", phrase_to_path(F.col("phrase")).alias("path")),
+    "phrase_to_path_eval_stemmed": lambda s, d: _phrases(s).select("phrase", phrase_to_path_eval(F.col("phrase"), stem_lower).alias("path")),
+    "parse_tokens": lambda s, d: _parse_tokens(_parsed(s, d)),
     "noun_pairs": _noun_pairs,
-    "extract_paths": lambda s, d: _extracted(s, d).groupBy("path", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt")),
+    "extract_paths": lambda s, d: _counted(_extracted(s, d), "path", "x", "y"),
     "reject_aux_and_nonverb": lambda s, d: paths.noun_pair_paths(_parsed(s, d)).groupBy(paths.has_content_verb(F.col("tokens"), F.col("path")).alias("kept")).agg(F.count(F.lit(1)).alias("n")),
     "slots": lambda s, d: counts.slots(_extracted(s, d)).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt")),
     "triples": _triples,
@@ -154,9 +226,9 @@ MI = f"""{TRIPLES}, ps AS (SELECT path, slot, sum(cnt)::DOUBLE AS ps FROM tr GRO
   FROM tr JOIN ps USING (path, slot) JOIN sw USING (slot, word)
   WHERE ln(cnt::DOUBLE * (SELECT sum(cnt) FROM tr)::DOUBLE / (ps.ps * sw.sw)) > 0.001
 )"""
-PAIRS = """verbs AS (SELECT DISTINCT lower(p_type) AS v FROM part
+PAIRS = """verbs AS (SELECT DISTINCT lower(p_type) AS w, lower(p_type) AS v FROM part
 ), phrases AS (
-  SELECT 'X ' || v || s || ' Y' AS phrase, CASE s WHEN '' THEN 'N:<nsubj:V:' || v || ':>dobj:N' WHEN ' by' THEN 'N:<nsubjpass:V:' || v || ':>prep:P:by:>pobj:N'
+  SELECT 'X ' || w || s || ' Y' AS phrase, CASE s WHEN '' THEN 'N:<nsubj:V:' || v || ':>dobj:N' WHEN ' by' THEN 'N:<nsubjpass:V:' || v || ':>prep:P:by:>pobj:N'
     WHEN ' badly enough at' THEN NULL ELSE 'N:<nsubj:V:' || v || ':>prep:P:' || trim(s) || ':>pobj:N' END AS path
   FROM verbs, (VALUES (''), (' in'), (' with'), (' to'), (' by'), (' badly enough at')) AS t(s)
 ), pr AS (
@@ -210,6 +282,101 @@ CONVERTED_EVAL = f"""WITH a AS (SELECT phrase, list_filter(regexp_split_to_array
 SELECT phrase, CASE WHEN len(w) = 1 THEN 'N:<nsubj:V:' || w[1] || ':>dobj:N' WHEN len(w) = 2 AND w[2] <> 'by' THEN 'N:<nsubj:V:' || w[1] || ':>prep:P:' || w[2] || ':>pobj:N'
   WHEN len(w) = 2 THEN 'N:<nsubjpass:V:' || w[1] || ':>agent:P:by:>pobj:N' END AS path FROM a"""
 
+# Stems traced by hand, of the words of the sales tables and of PHRASES that are not their own.
+STEMS = {
+    "furniture": "furnitur", "machinery": "machineri", "automobile": "automobil", "building": "build", "large": "larg",
+    "economy": "economi", "cause": "caus", "resemble": "resembl", "carry": "carri",
+}
+_STEM = "stems(w, s) AS (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in STEMS.items()) + ")"
+
+
+def _stemmed(sql: str) -> str:
+    """The SQL over the sales tables with every word, and every verb of a phrase, stemmed."""
+    of = lambda w: f"coalesce((SELECT s FROM stems WHERE stems.w = {w}), {w})"
+    base = BASE.replace("base AS (", "raw AS (", 1) + f", {_STEM}, base AS (SELECT {of('raw.x')} AS x, {of('raw.v')} AS v, {of('raw.y')} AS y, k, prep, cnt FROM raw)"
+    verbs = f"verbs AS (SELECT w, {of('p.w')} AS v FROM (SELECT DISTINCT lower(p_type) AS w FROM part) p"
+    return sql.replace(BASE, base).replace("verbs AS (SELECT DISTINCT lower(p_type) AS w, lower(p_type) AS v FROM part", verbs)
+
+
+def _stemmed_phrases(sql: str, lower: bool = False) -> str:
+    """The same for the fixed phrases: the verb is what stands behind V:."""
+    verb = "split_part(substr(path, strpos(path, ':V:') + 3), ':', 1)"
+    return f"WITH {_STEM}, t AS ({sql}) SELECT phrase, replace(path, ':V:' || {verb} || ':', ':V:' || coalesce((SELECT s FROM stems WHERE stems.w = {verb}), {f'lower({verb})' if lower else verb}) || ':') AS path FROM t"
+
+
+def _porter_sql(words: str) -> str:
+    """word, stem of the words (a query with a column word, a to z): the published algorithm, a step a CTE."""
+    form = lambda x: f"list_reduce(list_prepend('', string_split({x}, '')), lambda a, c: a || CASE WHEN c = '' THEN '' WHEN c IN ('a', 'e', 'i', 'o', 'u') OR (c = 'y' AND right(a, 1) = 'c') THEN 'v' ELSE 'c' END)"
+    steps = [f"s0 AS (SELECT DISTINCT word, word AS w FROM ({words}))"]
+
+    def step(expression: str, **made: str) -> None:
+        """w becomes the expression over w and the columns made, each of which may use those before."""
+        source = f"s{len(steps) - 1}"
+        for name, x in made.items():
+            source = f"(SELECT *, {x} AS {name} FROM {source})"
+        steps.append(f"s{len(steps)} AS (SELECT word, {expression} AS w FROM {source})")
+
+    cut = lambda n: f"left(w, length(w) - {n})"
+    m = lambda f: f"len(regexp_extract_all({f}, 'vc'))"
+    short = lambda f, x: f"({f} LIKE '%cvc' AND right({x}, 1) NOT IN ('w', 'x', 'y'))"
+    doubled = lambda f, x: f"(length({x}) > 1 AND right({x}, 1) = left(right({x}, 2), 1) AND {f} LIKE '%c')"
+    step(f"CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN {cut(2)} WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN {cut(1)} ELSE w END")
+    repaired = f"CASE WHEN b LIKE '%at' OR b LIKE '%bl' OR b LIKE '%iz' THEN b || 'e' WHEN {doubled('f', 'b')} THEN CASE WHEN right(b, 1) IN ('l', 's', 'z') THEN b ELSE left(b, length(b) - 1) END WHEN {m('f')} = 1 AND {short('f', 'b')} THEN b || 'e' ELSE b END"
+    step(
+        f"CASE WHEN w LIKE '%eed' THEN CASE WHEN {m('f')} > 0 THEN {cut(1)} ELSE w END WHEN (w LIKE '%ed' OR w LIKE '%ing') AND f LIKE '%v%' THEN {repaired} ELSE w END",
+        b=f"CASE WHEN w LIKE '%eed' OR w LIKE '%ing' THEN {cut(3)} ELSE {cut(2)} END", f=form("b"),
+    )
+    step(f"CASE WHEN w LIKE '%y' AND {form(cut(1))} LIKE '%v%' THEN {cut(1)} || 'i' ELSE w END")
+    for table, least in ((DERIVED, 0), (SHORTENED, 0), ([(x, x[0] if x in ("sion", "tion") else "") for x in sorted(REMOVED, key=len, reverse=True)], 1)):
+        found = "CASE " + " ".join(f"WHEN w LIKE '%{x}' THEN '{x}:{new}'" for x, new in table) + " ELSE '' END"
+        keep = "length(split_part(r, ':', 1))"
+        new = "split_part(r, ':', 2)"
+        base = f"left(w, length(w) - {keep})" if not least else f"left(w, length(w) - {keep}) || {new}"
+        step(f"CASE WHEN r <> '' AND {m('f')} > {least} THEN b{'' if least else ' || ' + new} ELSE w END", r=found, b=base, f=form("b"))
+    step(
+        f"CASE WHEN e LIKE '%l' AND {doubled('g', 'e')} AND k > 1 THEN left(e, length(e) - 1) ELSE e END",
+        k=m(form("w")), h=form(cut(1)), e=f"CASE WHEN w LIKE '%e' AND (k > 1 OR (k = 1 AND NOT {short('h', cut(1))})) THEN {cut(1)} ELSE w END", g=form("e"),
+    )
+    return f"WITH {', '.join(steps)} SELECT word, CASE WHEN length(word) < 3 THEN word ELSE w END AS stem FROM s{len(steps) - 1}"
+
+
+# What the odd lines hold, read by hand: number of the line, then the n-gram and count; tokens; paths; places.
+ODD_PARSED = [
+    (0, "smoking/NN/nsubj/2 causes/VBZ/ROOT/0 cancer/NN/dobj/2", 1), (2, "a/NN/nsubj/2 eats/VB/ROOT/0 b/NN/dobj/2 c/NN/conj/3", 7),
+    (3, "bad a/NN/nsubj/2 eats/VB/ROOT/0 b/NN/dobj/2 x/NN/y/z", 1), (4, "a/NN/x/9 runs/VB/ROOT/0 b/NN/dobj/2", 3),
+    (5, "a/NN/d/2 eats/VB/e/3 c/NN/f/2", 2),
+    (6, "man/NN/nsubj/3 has/VBZ/aux/3 eaten/VBN/ROOT/0 of/IN/prep/3 the/DT/det/6 bread/NN/pobj/4 in/IN/prep/6 Towns/NNS/pobj/7", 1),
+    (7, "dog/NN/nsubj/2  takes/VB/ROOT/0 and/or/NN/dobj/2 x/y/1 /NN/dep/2", 4), (8, "", 3),
+]
+ODD_TOKENS = [
+    (0, "smoking", "NN", "nsubj", 2), (0, "causes", "VBZ", "ROOT", 0), (0, "cancer", "NN", "dobj", 2),
+    (2, "a", "NN", "nsubj", 2), (2, "eats", "VB", "ROOT", 0), (2, "b", "NN", "dobj", 2), (2, "c", "NN", "conj", 3),
+    (3, "a", "NN", "nsubj", 2), (3, "eats", "VB", "ROOT", 0), (3, "b", "NN", "dobj", 2),
+    (4, "a", "NN", "x", 9), (4, "runs", "VB", "ROOT", 0), (4, "b", "NN", "dobj", 2),
+    (5, "a", "NN", "d", 2), (5, "eats", "VB", "e", 3), (5, "c", "NN", "f", 2),
+    (6, "man", "NN", "nsubj", 3), (6, "has", "VBZ", "aux", 3), (6, "eaten", "VBN", "ROOT", 0), (6, "of", "IN", "prep", 3),
+    (6, "the", "DT", "det", 6), (6, "bread", "NN", "pobj", 4), (6, "in", "IN", "prep", 6), (6, "Towns", "NNS", "pobj", 7),
+    (7, "dog", "NN", "nsubj", 2), (7, "takes", "VB", "ROOT", 0), (7, "and/or", "NN", "dobj", 2), (7, "", "NN", "dep", 2),
+]
+ODD_PATHS = [
+    (0, "N:<nsubj:V:caus:>dobj:N", "smoke", "cancer"), (2, "N:<nsubj:V:eat:>dobj:N", "a", "b"), (2, "N:<nsubj:V:eat:>dobj:W:b:>conj:N", "a", "c"),
+    (3, "N:<nsubj:V:eat:>dobj:N", "a", "b"), (5, "N:<d:V:eat:<e:N", "a", "c"), (6, "N:<nsubj:V:eaten:>prep:P:of:>pobj:N", "man", "bread"),
+    (6, "N:<nsubj:V:eaten:>prep:P:of:>pobj:W:bread:>prep:P:in:>pobj:N", "man", "Town"), (7, "N:<nsubj:V:take:>dobj:N", "dog", "and/or"),
+    (7, "N:<nsubj:V:take:>dep:N", "dog", ""), (7, "N:<dobj:V:take:>dep:N", "and/or", ""),
+]
+ODD_PLACES = [
+    (0, "1 2 3"), (2, "1 2 3"), (2, "1 2 3 4"), (2, "3 4"), (3, "1 2 3"), (5, "1 2 3"), (6, "1 3 4 6"), (6, "1 3 4 6 7 8"), (6, "6 7 8"),
+    (7, "1 2 3"), (7, "1 2 4"), (7, "3 2 4"),
+]
+
+
+def _odd_sql(rows: list[tuple], columns: str) -> str:
+    """Rows of the odd lines, as often as the lines occur, with the line's count."""
+    values = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    count = ", ".join(f"({r[0]}, {r[2]})" for r in ODD_PARSED)
+    return f"SELECT {columns}, count(*) AS n, CAST(sum(c.cnt) AS BIGINT) AS cnt FROM events JOIN (VALUES {values}) AS o(k, {columns}) ON event_id % 10 = o.k JOIN (VALUES {count}) AS c(k, cnt) ON c.k = o.k GROUP BY ALL"
+
+
 SQL = {
     "parse_lines": f"WITH {BASE} SELECT {NGRAM} AS ngram, count(*) AS n, CAST(sum(cnt) AS BIGINT) AS cnt FROM base GROUP BY 1",
     "parse_tokens": f"""WITH {BASE}, t AS (
@@ -252,3 +419,19 @@ SQL = {
       r AS (SELECT class, row_number() OVER (PARTITION BY class ORDER BY score DESC, p1, p2) AS place, p1, p2, score FROM e)
       SELECT class, CAST(place AS INTEGER) AS place, p1, p2, round(score, 6) AS score FROM r WHERE place <= 5""",
 }
+_EVAL_PAIRS = PAIRS.replace(":>prep:P:by:>pobj:N'", ":>agent:P:by:>pobj:N'")
+SQL |= {
+    "read_corpus_files": SQL["parse_lines"],
+    "read_phrase_files": SQL["gold_labels"],
+    "read_gold_files": f"WITH {_EVAL_PAIRS} SELECT DISTINCT least(p1, p2) AS p1, greatest(p1, p2) AS p2, label FROM pr",
+    "read_score_files": f"WITH {SCORES} SELECT p1, p2, round(score, 6) AS score FROM sc WHERE score > 0 UNION ALL SELECT 'p', 'q', 0.5",
+    "write_tagged_files": SQL["margins_grouping_sets"],
+    "odd_lines": _odd_sql([r[:2] for r in ODD_PARSED], "ngram"),
+    "odd_tokens": _odd_sql(ODD_TOKENS, "word, pos, dep, head"),
+    "odd_paths": _odd_sql(ODD_PATHS, "path, x, y"),
+    "odd_noun_pair_paths": _odd_sql(ODD_PLACES, "place"),
+    **{f"{q}_stemmed": _stemmed(SQL[q]) for q in ("extract_paths", "triples", "mi_scores", "final_similarity", "best_f1")},
+    "phrase_to_path_stemmed": _stemmed_phrases(CONVERTED),
+    "phrase_to_path_eval_stemmed": _stemmed_phrases(CONVERTED_EVAL, lower=True),
+    "stem_vocabulary": _porter_sql("SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS word FROM documents"),
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.phrases import phrase_to_path
@@ -15,6 +17,8 @@ from ..operators.similarity import convert_pairs, final_similarity
 from ..sources.readers import read_corpus, read_pairs
 from ..sources.sinks import write_tagged, write_tsv
 
+LOG = logging.getLogger(__name__)
+
 
 def triples_of(lines: DataFrame, stemmed: bool = True) -> DataFrame:
     return triples(extract_ngrams(parse_lines(lines), stemmed))
@@ -28,19 +32,28 @@ def score(lines: DataFrame, phrases: DataFrame, stemmed: bool = True) -> DataFra
 
 
 def run(spark: SparkSession, corpus: str, positives: str, negatives: str, out: str, stemmed: bool = True) -> DataFrame:
-    """Reads, scores and writes under out (stages `counts`, `mi`, `final`); raises ValueError where a stage has no rows."""
-    counted = triples_of(read_corpus(spark, corpus), stemmed).persist()
+    """Reads, scores and writes under out (stages `counts`, `mi`, `final`); raises ValueError where a stage has no rows.
+
+    Each stage's table is read back from where it was written, so nothing is kept in memory or computed twice.
+    """
+    LOG.info("counting triples of %s", corpus)
+    write_tagged(triples_of(read_corpus(spark, corpus), stemmed), f"{out}/counts")
+    counted = spark.read.schema("path string, slot string, word string, cnt long, family string").parquet(f"{out}/counts").filter("family = 'triples'").select("path", "slot", "word", "cnt")
     if counted.isEmpty():
         raise ValueError("no triples: the corpus has no usable paths")
-    write_tagged(counted, f"{out}/counts")
-    mi = mi_scores(counted).persist()
-    mi.write.parquet(f"{out}/mi")
+    LOG.info("mutual information")
+    mi_scores(counted).write.parquet(f"{out}/mi")
+    mi = spark.read.parquet(f"{out}/mi")
     phrases = read_pairs(spark, positives).unionByName(read_pairs(spark, negatives))
     pairs = convert_pairs(phrases, stem if stemmed else identity)
-    if pairs.isEmpty():
+    usable = pairs.count()
+    if lost := phrases.count() - usable:
+        LOG.warning("%d phrase pairs have no two paths and are left out", lost)
+    if not usable:
         raise ValueError("no test pair has two paths")
     scores = final_similarity(mi, pairs)
     write_tsv(scores, f"{out}/final")
+    LOG.info("scores are in %s/final", out)
     return scores
 
 

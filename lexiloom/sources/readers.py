@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.phrases import phrase_to_path_eval
-from ..functions.stem import stem
+from ..functions.stem import stem_lower
+
+LOG = logging.getLogger(__name__)
 
 
 def read_corpus(spark: SparkSession, paths: str) -> DataFrame:
@@ -21,23 +25,24 @@ def read_pairs(spark: SparkSession, path: str, label: str | None = None) -> Data
     return out.withColumn("label", F.lit(label)) if label else out
 
 
-def read_gold(spark: SparkSession, path: str, label: str, normal=stem) -> DataFrame:
-    """p1, p2, label: distinct unordered pairs by the evaluator's converter; a missing file has none."""
+def read_gold(spark: SparkSession, path: str, label: str, normal=stem_lower) -> DataFrame:
+    """p1, p2, label: distinct unordered pairs by the evaluator's converter; a missing file has none, and is warned of."""
     try:
         pairs = read_pairs(spark, path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
+        LOG.warning("no gold file at %s", path)
         return spark.createDataFrame([], "p1 string, p2 string, label string")
     paths = pairs.select(phrase_to_path_eval(F.col("phrase1"), normal).alias("a"), phrase_to_path_eval(F.col("phrase2"), normal).alias("b")).filter("a is not null and b is not null")
     return paths.select(F.least("a", "b").alias("p1"), F.greatest("a", "b").alias("p2")).distinct().withColumn("label", F.lit(label))
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """p1, p2, score of TAB-separated result files: three fields or more, a number, above 0."""
+    """p1, p2, score of TAB-separated result files: three fields or more, a number (not NaN), above 0."""
     fields = F.split(F.trim("value"), "\t")
     rows = spark.read.text(path).filter(F.size(fields) >= 3)
-    return rows.select(F.get(fields, F.lit(0)).alias("p1"), F.get(fields, F.lit(1)).alias("p2"), F.get(fields, F.lit(2)).try_cast("double").alias("score")).filter("score > 0")
+    return rows.select(F.get(fields, F.lit(0)).alias("p1"), F.get(fields, F.lit(1)).alias("p2"), F.get(fields, F.lit(2)).try_cast("double").alias("score")).filter("score > 0 and not isnan(score)")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,3 +89,24 @@ def star_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = phrases.withColumnRenamed("phrase", "phrase2")
     pairs = phrases.withColumnRenamed("phrase", "phrase1").join(other, F.col("phrase1") <= F.col("phrase2"))
     return pairs.withColumn("label", F.when((F.length("phrase1") + 2 * F.length("phrase2")) % 3 == 0, "pos").otherwise("neg"))
+
+
+# Lines that a corpus may hold besides well-formed ones.
+ODD_LINES = [
+    "h\tsmoking/NN/nsubj/2 causes/VBZ/ROOT/0 cancer/NN/dobj/2\tabc",
+    "short line",
+    "h\ta/NN/nsubj/2 eats/VB/ROOT/0 b/NN/dobj/2 c/NN/conj/3\t+7",
+    "h\tbad a/NN/nsubj/2 eats/VB/ROOT/0 b/NN/dobj/2 x/NN/y/z\t 5 ",
+    "h\ta/NN/x/9 runs/VB/ROOT/0 b/NN/dobj/2\t3",
+    "h\ta/NN/d/2 eats/VB/e/3 c/NN/f/2\t2\tmore\tfields",
+    "h\tman/NN/nsubj/3 has/VBZ/aux/3 eaten/VBN/ROOT/0 of/IN/prep/3 the/DT/det/6 bread/NN/pobj/4 in/IN/prep/6 Towns/NNS/pobj/7\t99999999999999999999",
+    "h\tdog/NN/nsubj/2  takes/VB/ROOT/0 and/or/NN/dobj/2 x/y/1 /NN/dep/2\t4",
+    "h\t\t3",
+    "h\tn\t",
+]
+
+
+def odd_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a corpus made from the events: the odd lines in turn, by the event's id."""
+    lines = F.array(*[F.lit(x) for x in ODD_LINES])
+    return spread(table(spark, sf_dir, "events").select("event_id")).select(F.element_at(lines, (F.col("event_id") % len(ODD_LINES) + 1).cast("int")).alias("value"))
