@@ -25,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import arrow_map, buffers, col, free_name, ship
+from .common import arrow_map, buffers, col, ship
 
 MEMO = 400_000
 LONGEST = 48
@@ -190,16 +190,16 @@ def decode(docs: DataFrame, *, ids: str = "ids", out: str = "text", path: str |
     ship(docs.sparkSession)
     shared = _codec(docs.sparkSession, path, pattern)
     keep = [c for c in docs.columns if c.lower() != out.lower()]
-    tmp = free_name("ids_in", keep)
-    source = docs.select(*[col(c) for c in keep], col(ids).alias(tmp))
+    source = docs.select(*[col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], col(ids).alias("ids"))
 
     def run(batches):
         codec = shared.value
         for b in batches:
             made = [None if x is None else codec.decode(x).decode("utf-8", "replace") for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.string())], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.string())], names=[*b.schema.names[:-1], "made"])
 
-    return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in keep], T.StructField(out, T.StringType())]))
+    made = source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("made", T.StringType())]))
+    return made.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], F.col("made").alias(out))
 
 
 def round_trip(docs: DataFrame, *, keep: Sequence[str] = ("doc_id",), text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -118,8 +118,8 @@ def arrow_map(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[],
     ship(df.sparkSession)
     new = {f.name.lower() for f in fields}
     keep = [c for c in keep if c.lower() not in new]
-    source = df.select(*[col(c) for c in keep], col(text).cast("string").alias(free_name("text", keep)))
-    schema = T.StructType([*[source.schema[c] for c in keep], *fields])
+    source = df.select(*[col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], col(text).cast("string").alias("text"))
+    schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(f"made_{i}", f.dataType) for i, f in enumerate(fields)]])
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(f.dataType) for f in fields]
@@ -132,9 +132,9 @@ def arrow_map(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[],
                 part = texts.slice(a, b - a)
                 made = [x if isinstance(x, pa.Array) else pa.array(x) for x in fn(part)]
                 made = [x if x.type == k else x.cast(k) for x, k in zip(made, kinds)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(keep))], *made], names=[f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(keep))], *made], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(schema.names, [*keep, *[f.name for f in fields]])])
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -249,12 +249,12 @@ def _rated(df: DataFrame, label: str, want: int, most_rows: int) -> tuple[DataFr
     if not counts:
         return None, 0, 0
     want = max(1, min(want, most_rows // len(counts)))
-    rows = [(r[0], min(1.0, 1.5 * want / r[1])) for r in counts]
+    rows = [(r[0], min(1.0, (4 * want + 64) / r[1])) for r in counts]
     return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(label, df.schema[label].dataType), T.StructField("rate", T.DoubleType())])), want, len(counts)
 
 
 def sample_ids(labels: DataFrame, doc_id: str, label: str, want: int, most_rows: int = 16_000) -> DataFrame:
-    """About 1.5 * want distinct rows (id, label) of each label, those with the smallest hashes: the same ones on every run."""
+    """About 2 * want distinct rows (id, label) of each label, those with the smallest hashes: the same ones on every run."""
     labels = labels.select(col(doc_id).alias("id"), col(label).alias("label"))
     rates, want, _ = _rated(labels, "label", want, most_rows)
     if rates is None:
