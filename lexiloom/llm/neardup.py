@@ -212,7 +212,7 @@ def _tiles(members: DataFrame) -> DataFrame:
 
 def _met(rows: DataFrame, meet, schema: T.StructType) -> DataFrame:
     """meet(table of one tile) -> list of tuples, for each tile of rows (tile, ...)."""
-    ordered = rows.repartition("tile").sortWithinPartitions("tile", "key")
+    ordered = rows.select("tile", *[c for c in rows.columns if c != "tile"]).repartition("tile").sortWithinPartitions("tile", "key")
 
     def batch(found: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(len(schema))], names=schema.names)
