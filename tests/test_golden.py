@@ -97,3 +97,26 @@ def test_evaluation(spark):
     found = {(r["class"], r.p1, r.p2) for r in ev.error_samples(scores, gold, cut).collect()}
     assert found == {("TP", "a", "b"), ("FP", "a", "c"), ("TP", "a", "d"), ("FN", "a", "e"), ("FN", "q", "r"), ("TN", "a", "f"), ("TN", "s", "t")}
     assert ev.best_f1(ev.cumulative_pr(ev.label_scores(scores.limit(0), gold), gold)).count() == 0
+
+
+def test_streamed_triples(spark, tmp_path):
+    from lexiloom.streaming.counts import streamed_triples
+
+    (tmp_path / "in").mkdir()
+    for i in range(2):
+        (tmp_path / "in" / f"{i}.txt").write_text("\n".join(CORPUS))
+    stream = spark.readStream.text(str(tmp_path / "in"))
+    query = streamed_triples(stream).writeStream.outputMode("complete").format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(r.path, r.slot, r.word): r.cnt for r in spark.table("streamed").collect()}
+    assert got == {(r.path, r.slot, r.word): 2 * r.cnt for r in pipeline.triples_of(lines(spark)).collect()}
+
+
+def test_odd_scores_and_gold_files(spark, tmp_path, caplog):
+    (tmp_path / "scores").write_text("a\tb\tNaN\na\tb\t0.5\nc\td\t-1\nc\td\nx\ty\tz\n")
+    assert [tuple(r) for r in read_scores(spark, str(tmp_path / "scores")).collect()] == [("a", "b", 0.5)]
+    nan = spark.createDataFrame([("a", "b", float("nan")), ("b", "a", 0.25)], "p1 string, p2 string, score double")
+    assert [tuple(r) for r in ev.score_map(nan).collect()] == [("a", "b", 0.25)]
+    with caplog.at_level("WARNING"):
+        assert read_gold(spark, str(tmp_path / "none"), "pos").count() == 0
+    assert "no gold file" in caplog.text
