@@ -14,4 +14,4 @@ QUERIES = {
     "op10_license_scan": licenses.query,
     "op5_decontamination": decontam.query,
 }
-SQL: dict[str, str] = {"op1_exact_topk": topk.SQL, "op4_hilbert_sharding": sharding.SQL, "op5_decontamination": decontam.SQL, "op9_minhash_dedup": neardup.SQL}
+SQL: dict[str, str] = {"op1_exact_topk": topk.SQL, "op4_hilbert_sharding": sharding.SQL, "op5_decontamination": decontam.SQL, "op8_secret_scan": secret_scan.SQL, "op9_minhash_dedup": neardup.SQL}

@@ -183,3 +183,39 @@ def query(spark, sf_dir: str) -> DataFrame:
     out = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = [F.expr(f"size(filter(candidates, c -> c.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     return out.select("doc_id", *n, "base_sha256", all_spans().alias("spans"), F.size(F.filter("candidates", lambda c: c["live"])).cast("long").alias("n_live"))
+
+
+_EITHER = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+_ASSIGN_SQL = f"""({_EITHER})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches_sql(kind: str, place: int, pattern: str, group: int = 0) -> str:
+    return f"SELECT doc_id, own, '{kind}' AS kind, {place} AS place, regexp_extract_all(text, '{pattern}') AS x, regexp_extract_all(text, '{pattern}', {group}) AS v, string_split_regex(text, '{pattern}') AS gaps FROM t"
+
+
+SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS own, coalesce(text, '') AS text FROM documents
+), m AS ({_matches_sql("assign", 0, _ASSIGN_SQL, 2)} UNION ALL {_matches_sql("access", 1, "AKIA[A-Z0-9]+")}
+  UNION ALL {_matches_sql("hex", 2, "[0-9a-f]+")} UNION ALL {_matches_sql("token", 3, "[A-Za-z0-9+/_-]+")}
+), l AS (SELECT *, list_transform(x, lambda a: length(a)) AS xl, list_transform(gaps, lambda a: length(a)) AS gl FROM m WHERE len(x) > 0
+), e AS (
+  SELECT doc_id, own, kind, place, x[i] AS x, v[i] AS v, CAST(list_sum(gl[1 : i]) + coalesce(list_sum(xl[1 : i - 1]), 0) AS BIGINT) AS s
+  FROM l, LATERAL (SELECT unnest(list_filter(range(1, len(x) + 1), lambda i: length(v[i]) >= CASE kind WHEN 'assign' THEN 6 WHEN 'hex' THEN 24 ELSE 20 END)) AS i)
+), b AS (SELECT *, s + length(x) AS e, s + length(x) - length(v) AS vs FROM e
+), c AS (
+  SELECT * FROM b WHERE kind <> 'token' OR (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')
+    AND list_sum(list_transform(map_values(histogram_of), lambda n: -(n / length(v)) * log2(n / length(v)))) >= {MIN_BITS}
+    AND NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_id = b.doc_id AND o.kind <> 'token' AND o.s < b.e AND b.s < o.e))
+), w AS (SELECT v, count(DISTINCT doc_id) AS repositories, count(DISTINCT own) AS owners FROM c GROUP BY v
+), j AS (SELECT c.*, repositories <= 3 AND owners <= 2 AS live FROM c JOIN w USING (v)
+), a AS (
+  SELECT DISTINCT doc_id, s, place, e, kind FROM j WHERE kind <> 'token' UNION SELECT doc_id, vs, 3, e, 'live' FROM j WHERE live
+), p AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place, e) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place, e) FILTER (kind <> 'live') AS base FROM a GROUP BY doc_id
+), n AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live
+  FROM j GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM t LEFT JOIN p USING (doc_id) LEFT JOIN n USING (doc_id)
+""".replace("map_values(histogram_of)", "list_transform(list_distinct(string_split(v, '')), lambda s: len(list_filter(string_split(v, ''), lambda o: o = s)))")

@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -96,6 +97,9 @@ def test_live_spans_match_plain_loops(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {x.doc_id: x.spans for x in secret_scan.query(spark, str(tmp_path)).collect()}
     assert got == plain_spans(rows) and any("live" in x for x in got.values())
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {tuple(x) for x in secret_scan.query(spark, str(tmp_path)).collect()} == set(con.sql(secret_scan.SQL).fetchall())
 
 
 def test_many_secrets_in_one_text_take_time_by_its_length():
