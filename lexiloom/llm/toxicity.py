@@ -44,7 +44,7 @@ PER_BYTE, LEAST = 12, 1024
 #: Bytes of each class's windows in the first round, when they are taken as they are.
 START = 60_000
 #: Share of ordinary texts' windows that may save as much as a window the toxic side goes on with.
-RARE = 0.001
+RARE = 0.003
 RUN = 4
 ROUNDS = 3
 #: How many toxic texts may be missed for one ordinary text that is not marked.
