@@ -8,10 +8,12 @@ neighbours vote with their cosines (negative ones with none), each class weighte
 
 Defined cases: null and empty texts have the zero vector, whose neighbours all have cosine 0: they get the score of a
 vote without neighbours, 0.5; ties between neighbours go to the one that comes first in the sorted sample; texts
-alike get scores alike; with labels of one class only every score is that class, without labels 0. Extra columns
-pass through where asked for.
+alike get scores alike, so repeated rows do; a text of any length is read whole; with labels of one class only every score
+is that class, without labels 0; an empty table gives an empty result. Extra columns, of any names, pass through where
+asked for; a result column replaces one of its name.
 
-Scale: labelled texts are sampled by a hash, about `sample` rows a class (a documented bound); the broadcast is
+Scale: labelled texts are sampled by a hash, at most `sample` rows a class (a documented bound, see
+common.sample_texts); the broadcast is
 TERMS x RANK + sample x RANK numbers. Scoring is one pass, without a shuffle.
 """
 
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import LOWER, SLICE_BYTES, arrow_map, buffers, crc_mod, mask_of, labelled_texts, word_bounds, word_hashes
+from .common import LOWER, arrow_map, buffers, crc_mod, labelled_texts, mask_of, word_bounds, word_hashes
 
 SPACE = mask_of([0x20, *range(0x09, 0x0E)])
 GRAMS, PAIRS = 4096, 2048

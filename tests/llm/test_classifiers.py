@@ -7,7 +7,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
-from pyspark.sql import functions as F
 
 from lexiloom.llm import langid, quality, toxicity
 from lexiloom.llm.common import sample_texts
