@@ -43,7 +43,7 @@ CELLS = 1 << 18
 #: Words that a template may have: what the packed cells of an alignment hold.
 MOST_WORDS = 1 << 17
 BITS = 20
-MOST_BYTES = 32 << 20
+MOST_BYTES = 8 << 20
 #: Fixed texts of notices and license heads.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
