@@ -92,7 +92,7 @@ def numbered(df: DataFrame, prefix: str = "column_") -> tuple[DataFrame, dict[st
     return df.select(*[col(c).alias(n) for c, n in names.items()]), names
 
 
-def spread_join(big: DataFrame, side: DataFrame, on: str, spread: str, how: str = "inner", share: int = 10_000, least: int = 1000) -> DataFrame:
+def spread_join(big: DataFrame, side: DataFrame, on: str, spread: str, how: str = "inner", share: int = 10_000, least: int = 256) -> DataFrame:
     """big joined with side, whose rows are unique by column on, however many rows of big one value of it has.
 
     A value with more than `least` rows and more than 1/`share` of all is hot: there are at most `share` of those, so
