@@ -264,7 +264,7 @@ def sample_ids(labels: DataFrame, doc_id: str, label: str, want: int, most_rows:
     return chosen.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * want).drop("place")
 
 
-def sample_texts(df: DataFrame, label: str, text: str, doc_id: str, want: int, *, most_rows: int = 16_000, most_bytes: int = 64 << 20, rated: bool = True) -> list[tuple]:
+def sample_texts(df: DataFrame, label: str, text: str, doc_id: str, want: int, *, most_rows: int = 16_000, most_bytes: int = 64 << 20) -> list[tuple]:
     """(text, label) of `want` distinct rows of each label, or of all there are, by the smallest hashes of (doc_id, text).
 
     The same rows on every run. The bounds are on what is fitted, and documented: want rows a label, most_rows rows, and
@@ -277,8 +277,7 @@ def sample_texts(df: DataFrame, label: str, text: str, doc_id: str, want: int, *
         return []
     part = most_bytes // labels
     rows = rows.join(F.broadcast(rates), "label").withColumn("h", F.xxhash64(F.lit(31), "id", "body"))
-    if rated:
-        rows = rows.filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.col("rate"))
+    rows = rows.filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.col("rate"))
     rows = rows.groupBy("label", "h").agg(F.first("body").alias("body"))
     order = Window.partitionBy("label").orderBy("h")
     rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= want)
@@ -291,4 +290,4 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, text: str, do
     """(text, label) of about `want` rows of docs for each label 0 and 1 of the table labels, by sample_ids and sample_texts."""
     ids = sample_ids(labels.filter(col(label).isin(0, 1)), doc_id, label, want)
     rows = docs.select(col(doc_id).alias("id"), col(text).cast("string").alias("body")).join(F.broadcast(ids), "id")
-    return sample_texts(rows, "label", "body", "id", want, rated=False, **bounds)
+    return sample_texts(rows, "label", "body", "id", want, **bounds)

@@ -335,7 +335,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         single = reps.select("set_key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left_anti").select("set_key", F.col("rep").alias("named"))
         named = written(classes.union(single))
         made.remove(named)
-    out = spread_join(scanned.select("id", "n_shingles", "set_key"), named, "set_key", "id", "left")
+    slim = scanned.select("id", "n_shingles", "set_key")
+    out = spread_join(slim.filter("set_key is not null"), named, "set_key", "id", "left").select("id", "n_shingles", "named")
+    out = out.unionByName(slim.filter("set_key is null").select("id", "n_shingles", F.lit(None).cast("long").alias("named")))  # no shuffle for empty sets
     component = F.when(F.col("id").isNotNull(), F.coalesce("named", "id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
