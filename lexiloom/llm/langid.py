@@ -23,7 +23,7 @@ on each slice's distinct words, then on chains side by side, a long one in block
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*|\n")
 UND = "und"
 #: Words that a chain is cut into for running side by side.
 BLOCK = 128
+#: Words whose features are made at once.
+PIECE = 8192
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("confidence", T.DoubleType())]
 
 
@@ -82,6 +84,13 @@ def features(words: Sequence[str], lexicon: dict[str, int]) -> tuple[np.ndarray,
     return np.concatenate(out)[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
 
 
+def pieces(words: Sequence[str], lexicon: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """features() of PIECE words at a time, which bounds what it holds besides its results."""
+    for i in range(0, len(words), PIECE):
+        f, at = features(words[i : i + PIECE], lexicon)
+        yield f.astype(np.int32), at
+
+
 def forward_backward(emit: np.ndarray, first: np.ndarray, length: np.ndarray, move: np.ndarray, start: np.ndarray, pairs: bool = False):
     """Marginals of every word (and, if asked for, expected transitions and log-likelihood's normaliser).
 
@@ -130,8 +139,8 @@ def marginals(emit: np.ndarray, first: np.ndarray, length: np.ndarray, move: np.
     message over it; so the messages at borders are found block by block, then those inside of all blocks side by side.
     """
     n, k = emit.shape
-    e = np.exp(emit - emit.max(1, keepdims=True)).astype(np.float64)
-    go, begin = np.exp(move), np.exp(start)
+    e = np.exp(emit - emit.max(1, keepdims=True))
+    go, begin = np.exp(move).astype(e.dtype), np.exp(start).astype(e.dtype)
     parts = -(-length // BLOCK)
     head = np.cumsum(parts) - parts  # a chain's first block
     chain = np.repeat(np.arange(len(first)), parts)
@@ -140,16 +149,16 @@ def marginals(emit: np.ndarray, first: np.ndarray, length: np.ndarray, move: np.
     order = np.argsort(-size, kind="stable")  # blocks, longest first
     steps = int(size.max(initial=0))
     active = np.searchsorted(-size[order], -np.arange(steps), "left")
-    normed = lambda x: x / np.maximum(x.sum(-1, keepdims=True), 1e-300)
-    into, behind = np.tile(begin, (len(at), 1)), np.ones((len(at), k))  # messages to a block's first word, and to its last from behind
+    normed = lambda x: x / np.maximum(x.sum(-1, keepdims=True), 1e-30)
+    into, behind = np.tile(begin, (len(at), 1)), np.ones((len(at), k), e.dtype)  # messages to a block's first word, and to its last from behind
     if len(parts) and parts.max() > 1:
         long = order[parts[chain[order]] > 1]
-        carry = np.zeros((len(at), k, k))
+        carry = np.zeros((len(at), k, k), e.dtype)
         carry[long] = np.eye(k)
         for t in range(1, steps):
             on = long[: np.searchsorted(-size[long], -t, "left")]
             c = carry[on] @ go * e[at[on] + t][:, None, :]
-            carry[on] = c / np.maximum(c.sum((1, 2), keepdims=True), 1e-300)
+            carry[on] = c / np.maximum(c.sum((1, 2), keepdims=True), 1e-30)
         for b in range(1, int(parts.max())):
             here = head[parts > b] + b
             into[here] = normed(np.einsum("ij,ijk->ik", into[here - 1] * e[at[here - 1]], carry[here - 1]) @ go)
@@ -192,7 +201,10 @@ class Model:
         self.lexicon = {w: i for i, (w, c) in enumerate(sorted(total.items(), key=lambda p: (-p[1], p[0]))[:LEXICON]) if c >= 20}
         number_of: dict[str, int] = {}
         chains = [([number_of.setdefault(w, len(number_of)) for w in words], y) for words, y in chains]
-        self._features, self._at = features(list(number_of), self.lexicon)
+        made = list(pieces(list(number_of), self.lexicon))
+        self._features = np.concatenate([np.empty(0, np.int32), *[f for f, _ in made]])
+        self._at = np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *[np.diff(at) for _, at in made]]))])
+        del made, texts, seen, total, number_of
         rng = np.random.default_rng(seed)
         rng.shuffle(chains)
         self.table = np.zeros((2 * TABLE + 1 + LEXICON, k), np.float32)
@@ -274,8 +286,7 @@ class Model:
         number: dict[str, int] = {}
         code = np.fromiter((number.setdefault(t, len(number)) for t in tokens), np.int64, len(tokens))
         ids = list(number)
-        f, at = features(ids, self.lexicon)
-        emit = np.add.reduceat(self.table[f], at[:-1], axis=0) / 4
+        emit = np.concatenate([np.add.reduceat(self.table[f], at[:-1], axis=0) / 4 for f, at in pieces(ids, self.lexicon)])
         letters = np.fromiter(map(len, ids), np.int64, len(ids))
         doc = np.repeat(np.arange(n), count)
         real = code != number.get("\n", -1)
