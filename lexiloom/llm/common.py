@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-#: Bytes of text that a worker handles at once; a longer text is a slice of its own.
-SLICE_BYTES = 1_500_000
+#: Bytes of text that a worker handles at once; a longer text is a slice of its own. What hashing holds is some 70 times as much.
+SLICE_BYTES = 400_000
+#: Bytes of a batch of rows on its way to or from a worker (a longer row is a batch of its own): the JVM and the worker each hold a few.
+BATCH_BYTES = 4 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -22,7 +24,13 @@ _BASE_INV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers on this host import the package when the driver got it through sys.path alone."""
+    """Let Python workers on this host import the package when the driver got it through sys.path alone, and get batches of BATCH_BYTES.
+
+    A bound on batches that the session has set itself stays.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, str(BATCH_BYTES))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in have:
@@ -167,7 +175,7 @@ class Powers:
     @classmethod
     def to(cls, n: int) -> None:
         if len(cls.up) < n:
-            n = max(n, 2 * SLICE_BYTES)
+            n = max(n, SLICE_BYTES + 1)
             grow = np.ones(n, np.uint64)
             grow[1:] = _BASE
             cls.up = np.cumprod(grow)
@@ -243,6 +251,7 @@ def unit_hash(*columns):
 
 def _rated(df: DataFrame, label: str, want: int, most_rows: int) -> tuple[DataFrame | None, int, int]:
     """A row a label with the rate (share of its rows whose hash to look at), the rows to take of each, and how many labels there are."""
+    ship(df.sparkSession)  # the rows made below pass through workers, and those of another environment are kept beside the others
     counts = df.groupBy(label).count().filter(col(label).isNotNull()).limit(most_rows + 1).collect()
     if len(counts) > most_rows:
         raise ValueError(f"more than {most_rows} labels: a row of each would not fit the sample")
