@@ -11,7 +11,7 @@ text of any length is encoded whole, a pre-token of n bytes in time n log n. Ext
 where asked for; a result column replaces one of its name.
 
 Scale: one pass, no shuffle; the vocabulary (a file of fixed size, read on the driver) is broadcast. A worker keeps
-the ids of pre-tokens it has met in a memo of at most MEMO entries of at most LONGEST signs, emptied when full.
+the ids of pre-tokens it has met in a memo of at most MEMO entries of at most LONGEST signs, without the rarest.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import arrow_map, buffers, col, ship
 
-MEMO = 400_000
+MEMO = 160_000
 LONGEST = 48
 #: White space as Unicode defines it; the regex library's own class also has the separators 1C to 1F.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -79,15 +79,23 @@ class PerfectHash:
 
 
 class Memo(dict):
-    """key -> make(key), of at most MEMO keys, none of them a text of over LONGEST signs."""
+    """key -> make(key), of at most MEMO keys, none of them a text of over LONGEST signs.
+
+    Half of them are new. When these are many, they become the old ones; an old one that is asked for is new again, so
+    what is frequent is never made anew.
+    """
 
     def __init__(self, make):
         self.make = make
+        self.old: dict = {}
 
     def __missing__(self, key):
-        out = self.make(key)
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
         if isinstance(key, int) or len(key) <= LONGEST:
-            if len(self) >= MEMO:
+            if 2 * len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[key] = out
         return out

@@ -251,7 +251,6 @@ def unit_hash(*columns):
 
 def _rated(df: DataFrame, label: str, want: int, most_rows: int) -> tuple[DataFrame | None, int, int]:
     """A row a label with the rate (share of its rows whose hash to look at), the rows to take of each, and how many labels there are."""
-    ship(df.sparkSession)  # the rows made below pass through workers, and those of another environment are kept beside the others
     counts = df.groupBy(label).count().filter(col(label).isNotNull()).limit(most_rows + 1).collect()
     if len(counts) > most_rows:
         raise ValueError(f"more than {most_rows} labels: a row of each would not fit the sample")
@@ -259,7 +258,11 @@ def _rated(df: DataFrame, label: str, want: int, most_rows: int) -> tuple[DataFr
         return None, 0, 0
     want = max(1, min(want, most_rows // len(counts)))
     rows = [(r[0], min(1.0, (4 * want + 64) / r[1])) for r in counts]
-    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(label, df.schema[label].dataType), T.StructField("rate", T.DoubleType())])), want, len(counts)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = T.StructType([T.StructField(label, df.schema[label].dataType), T.StructField("rate", T.DoubleType())])
+    made = pa.table([[r[i] for r in rows] for i in range(2)], schema=to_arrow_schema(kinds))  # a list would start workers that are kept beside those of the operators
+    return df.sparkSession.createDataFrame(made, kinds), want, len(counts)
 
 
 def sample_ids(labels: DataFrame, doc_id: str, label: str, want: int, most_rows: int = 16_000) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 
-from lexiloom.llm import common, neardup
+from lexiloom.llm import bpe, common, neardup
 
 LONG = [T.StructField("held", T.LongType())]
 BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -47,9 +47,20 @@ def test_hashing_holds_little_besides_its_slice(monkeypatch):
     assert peak < 48_000_000
 
 
-def test_sampling_uses_the_workers_of_the_operators(spark, monkeypatch):
-    env = spark.sparkContext.environment
-    monkeypatch.delitem(env, "PYTHONPATH", raising=False)
-    rows = common.sample_texts(spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, text string, lang string"), "lang", "text", "id", 5)
-    assert sorted(rows) == [("a", "x"), ("b", "y")]
-    assert str(common.Path(common.__file__).resolve().parents[2]) in env.get("PYTHONPATH", "").split(":")
+def test_sampling_starts_no_workers_of_its_own(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, text string, lang string")
+
+    def refuse(*_):
+        raise AssertionError("rows pass through Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert sorted(common.sample_texts(docs, "lang", "text", "id", 5)) == [("a", "x"), ("b", "y")]
+
+
+def test_a_frequent_key_outlives_a_full_memo(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 20)
+    made = []
+    memo = bpe.Memo(lambda key: made.append(key) or key)
+    for i in range(100):
+        assert memo[-1] == -1 and memo[i] == i and len(memo) + len(memo.old) <= 20
+    assert made.count(-1) == 1
